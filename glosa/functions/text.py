@@ -63,6 +63,18 @@ URL_TLDS = [
 EMAIL_REGEX = r"^[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9\-.]+"
 
 
+def keep(c: Column) -> Column:
+    """Materialise an array column once per row.
+
+    Catalyst inlines a projected expression into its consumer when it is
+    referenced once -- also when that single reference sits inside a lambda,
+    where it is then re-evaluated per element (quadratic for per-token
+    lambdas), and filters are pushed through projections by substituting the
+    expression.  A cheap non-deterministic guard (the partition id) stops
+    both, so each per-document array is computed exactly once."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def sql_string(s: str) -> str:
     """Quote a Python string as a Spark SQL string literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -235,29 +247,29 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
     sid    sentence number of each token (F12)
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn("toks", F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 2))
+    out = df.withColumn("toks", keep(F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 2)))
     if offsets:
         gaps = F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 1)
         piece_len = F.zip_with(gaps, F.col("toks"), lambda g, t: F.length(g) + F.length(t))
         out = out.withColumn("_gaplen", F.transform(gaps, lambda g: F.length(g)))
         out = out.withColumn("_pstart", exclusive_cumsum(piece_len))
-        out = out.withColumn("tstart", F.zip_with("_pstart", "_gaplen", lambda p, g: p + g)).drop("_gaplen", "_pstart")
+        out = out.withColumn("tstart", keep(F.zip_with("_pstart", "_gaplen", lambda p, g: p + g))).drop("_gaplen", "_pstart")
     ends = F.transform("toks", lambda t: F.when(t.isin(SENTENCE_END) | t.contains("\n"), 1).otherwise(0))
     out = (
         out.withColumn("n", F.size("toks"))
-        .withColumn("_hd", F.transform("toks", lambda t: t.rlike(r"\d")))
-        .withColumn("lw", F.transform("toks", F.lower))
+        .withColumn("_hd", keep(F.transform("toks", lambda t: t.rlike(r"\d"))))
+        .withColumn("lw", keep(F.transform("toks", F.lower)))
     )
     # SHAPE only for tokens holding a digit: every shape pattern holds one.
     out = (
-        out.withColumn("shp", F.transform("toks", lambda t, i: F.when(F.get(F.col("_hd"), i), shape(t, compat))))
-        .withColumn("lnum", F.transform("toks", lambda t, i: F.when(F.get(F.col("_hd"), i), like_num(t))
-                                        .otherwise(_word_like_num(F.get(F.col("lw"), i)))))
-        .withColumn("dig", F.transform("toks", lambda t, i: F.get(F.col("_hd"), i) & is_digit(t)))
-        .withColumn("alp", F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_alpha(t)))
-        .withColumn("asc", F.transform("toks", is_ascii))
-        .withColumn("pun", F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_punct(t)))
-        .withColumn("sid", exclusive_cumsum(ends))
+        out.withColumn("shp", keep(F.transform("toks", lambda t, i: F.when(F.get(F.col("_hd"), i), shape(t, compat)))))
+        .withColumn("lnum", keep(F.transform("toks", lambda t, i: F.when(F.get(F.col("_hd"), i), like_num(t))
+                                             .otherwise(_word_like_num(F.get(F.col("lw"), i))))))
+        .withColumn("dig", keep(F.transform("toks", lambda t, i: F.get(F.col("_hd"), i) & is_digit(t))))
+        .withColumn("alp", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_alpha(t))))
+        .withColumn("asc", keep(F.transform("toks", is_ascii)))
+        .withColumn("pun", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_punct(t))))
+        .withColumn("sid", keep(exclusive_cumsum(ends)))
         .drop("_hd")
     )
     return out

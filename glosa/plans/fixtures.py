@@ -125,13 +125,13 @@ WITH d AS (
 SELECT session,
        CAST(row_number() OVER (PARTITION BY session ORDER BY day) AS INT) AS epoch,
        CAST(n AS INT) AS batches,
-       round(CAST(1000 AS DOUBLE) / n, 6) AS ner,
-       round(mean_v, 6) AS val_f_score,
-       round(mean_v * 0.9, 6) AS val_precision,
-       round((mean_v + max_v) / 2, 6) AS val_recall,
-       round((mean_v + min_v) / 2, 6) AS f_score,
-       round(min_v, 6) AS precision,
-       round(max_v, 6) AS recall
+       floor(CAST(1000 AS DOUBLE) / n * 1000000) / 1000000 AS ner,
+       floor(mean_v * 1000000) / 1000000 AS val_f_score,
+       floor(mean_v * 0.9 * 1000000) / 1000000 AS val_precision,
+       floor((mean_v + max_v) / 2 * 1000000) / 1000000 AS val_recall,
+       floor((mean_v + min_v) / 2 * 1000000) / 1000000 AS f_score,
+       floor(min_v * 1000000) / 1000000 AS precision,
+       floor(max_v * 1000000) / 1000000 AS recall
 FROM d
 """
 

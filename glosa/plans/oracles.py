@@ -347,7 +347,8 @@ FROM history""", ["history"])
 
 
 def _fold_lr(n: str, lr0: float = 0.05, step: float = 0.001) -> str:
-    return f"list_reduce(list_transform(range(CAST({n} AS BIGINT)), lambda x: {step!r}), lambda acc, x: acc - x, {lr0!r})"
+    return (f"list_reduce(list_transform(range(CAST({n} AS BIGINT)), lambda x: CAST({step!r} AS DOUBLE)), "
+            f"lambda acc, x: acc - x, CAST({lr0!r} AS DOUBLE))")
 
 
 PLATEAU_CTES = [
@@ -356,7 +357,7 @@ PLATEAU_CTES = [
           FROM history WINDOW w AS (PARTITION BY session ORDER BY epoch))""",
     """p1 AS (SELECT *, coalesce(sum(CAST(cand AS INT)) OVER (PARTITION BY session ORDER BY epoch
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cprev FROM p0)""",
-    f"p2 AS (SELECT *, cand AND {_fold_lr('cprev')} > 0.001 AS plateau FROM p1)",
+    f"p2 AS (SELECT *, cand AND {_fold_lr('cprev')} > CAST(0.001 AS DOUBLE) AS plateau FROM p1)",
     f"""p3 AS (SELECT *, {_fold_lr('coalesce(sum(CAST(plateau AS INT)) OVER (PARTITION BY session ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS lr,
                      20 + sum(CAST(plateau AS INT)) OVER (PARTITION BY session ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS planned_epochs
           FROM p2)""",
