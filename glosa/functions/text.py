@@ -121,13 +121,20 @@ def like_num(t: Column) -> Column:
     """F6 LIKE_NUM: optional sign stripped, ``,``/``.`` dropped; digits,
     digits/digits, or a number word."""
     core = F.regexp_replace(F.regexp_replace(t, r"^[+\-±~]", ""), r"[,.]", "")
-    return core.rlike(r"^\d+$") | core.rlike(r"^\d+/\d+$") | F.lower(core).isin(vocab.NUM_WORDS)
+    return core.rlike(r"^\d+$") | core.rlike(r"^\d+/\d+$") | isin(F.lower(core), vocab.NUM_WORDS)
 
 
 def _word_like_num(lw: Column) -> Column:
     """LIKE_NUM of a lower-cased token without digits: only the number words."""
     core = F.when(lw.rlike(r"^[+\-±~]"), F.substring(lw, 2, 1 << 30)).otherwise(lw)
-    return F.translate(core, ",.", "").isin(vocab.NUM_WORDS)
+    return isin(F.translate(core, ",.", ""), vocab.NUM_WORDS)
+
+
+def isin(c: Column, values: list[str]) -> Column:
+    """``c IN values`` built with one JVM call (instead of one per literal)."""
+    from pyspark.sql.classic.column import Column as JColumn
+
+    return JColumn(c._jc.isInCollection(list(values)))
 
 
 def is_digit(t: Column) -> Column:
@@ -160,7 +167,7 @@ def like_url(t: Column) -> Column:
         & ~t.startswith(".")
         & ~t.endswith(".")
         & ~t.contains("@")
-        & (tld.endswith("/") | (tld.rlike(r"^\p{L}+$") & F.lower(tld).isin(URL_TLDS)))
+        & (tld.endswith("/") | (tld.rlike(r"^\p{L}+$") & isin(F.lower(tld), URL_TLDS)))
     )
     return (
         t.startswith("http://")
@@ -172,7 +179,7 @@ def like_url(t: Column) -> Column:
 
 def is_adp(lw: Column) -> Column:
     """F11 POS = ADP, closed list of prepositions (stands in for a tagger)."""
-    return lw.isin(vocab.PREPOSITIONS)
+    return isin(lw, vocab.PREPOSITIONS)
 
 
 # --------------------------------------------------------------------------
@@ -230,6 +237,64 @@ ACCUSED_ADVISOR_FORMS = lemma_forms(vocab.ACCUSED_LEMMAS + vocab.ADVISOR_LEMMAS)
 PHONE_FORMS = lemma_forms(vocab.PHONE_LEMMAS)
 
 
+# --------------------------------------------------------------------------
+# word-list membership as per-token bit masks
+# --------------------------------------------------------------------------
+
+# lists compared with the lower-cased token ...
+LOWER_SETS = {
+    "num_words": vocab.NUM_WORDS,
+    "months": vocab.MONTHS,
+    "adp": vocab.PREPOSITIONS,
+    "nationality": NATIONALITY_FORMS,
+    "study_levels": vocab.STUDY_LEVELS,
+    "study_states": vocab.STUDY_STATES,
+    "car_makes": vocab.CAR_MAKES,
+    "article": vocab.ARTICLE_WORDS,
+    "violence": vocab.VIOLENCE_WORDS,
+    "gender_types": vocab.GENDER_VIOLENCE_TYPES,
+    "violence_types": vocab.VIOLENCE_TYPES,
+    "law": vocab.LAW_LEFT,
+    "address_first": vocab.ADDRESS_FIRST_LEFT,
+    "address_second": vocab.ADDRESS_SECOND_LEFT,
+    "plate_left": vocab.PLATE_LEFT,
+    "place_left": vocab.PLACE_LEFT,
+    "judge": JUDGE_FORMS,
+    "secretary": SECRETARY_FORMS,
+    "prosecutor": PROSECUTOR_FORMS,
+    "ombuds": OMBUDS_FORMS,
+    "accused_advisor": ACCUSED_ADVISOR_FORMS,
+    "phone_lemma": PHONE_FORMS,
+}
+# ... and lists compared with the exact token text.
+TEXT_SETS = {
+    "page_first": vocab.PAGE_FIRST_LEFT,
+    "page_second": vocab.PAGE_SECOND_LEFT,
+    "measure": vocab.MEASURE_FIRST_RIGHT,
+    "phone_text": vocab.PHONE_TEXTS,
+    "period": vocab.PERIOD_WORDS,
+    "cuij_prefix": vocab.CUIJ_PREFIXES,
+}
+
+
+def _mask_sql(arr: str, sets: dict[str, list[str]]) -> str:
+    terms = " + ".join(
+        f"(CASE WHEN w IN ({', '.join(sql_string(x) for x in words)}) THEN {1 << k} ELSE 0 END)"
+        for k, words in enumerate(sets.values())
+    )
+    return f"transform({arr}, w -> CAST({terms} AS BIGINT))"
+
+
+def in_set(name: str, i: Column, k: int = 0) -> Column:
+    """Token ``i + k`` belongs to word list ``name`` (false off the document edge)."""
+    if name in LOWER_SETS:
+        arr, bit = "lmask", 1 << list(LOWER_SETS).index(name)
+    else:
+        arr, bit = "tmask", 1 << list(TEXT_SETS).index(name)
+    m = F.get(F.col(arr), i + k) if k else F.get(F.col(arr), i)
+    return F.coalesce(m.bitwiseAND(F.lit(bit)) != 0, F.lit(False))
+
+
 # --------------------------------------------------------------------------
 # the token frame
 # --------------------------------------------------------------------------
@@ -245,6 +310,7 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
     shp    SHAPE (tokens holding a digit)  lnum   LIKE_NUM
     dig    IS_DIGIT   alp IS_ALPHA   asc IS_ASCII   pun IS_PUNCT
     sid    sentence number of each token (F12)
+    lmask / tmask  word-list membership bits of the lower-cased / exact token
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = df.withColumn("toks", keep(F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 2)))
@@ -254,7 +320,7 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
         out = out.withColumn("_gaplen", F.transform(gaps, lambda g: F.length(g)))
         out = out.withColumn("_pstart", exclusive_cumsum(piece_len))
         out = out.withColumn("tstart", keep(F.zip_with("_pstart", "_gaplen", lambda p, g: p + g))).drop("_gaplen", "_pstart")
-    ends = F.transform("toks", lambda t: F.when(t.isin(SENTENCE_END) | t.contains("\n"), 1).otherwise(0))
+    ends = F.transform("toks", lambda t: F.when(isin(t, SENTENCE_END) | t.contains("\n"), 1).otherwise(0))
     out = (
         out.withColumn("n", F.size("toks"))
         .withColumn("_hd", keep(F.transform("toks", lambda t: t.rlike(r"\d"))))
@@ -270,6 +336,8 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
         .withColumn("asc", keep(F.transform("toks", is_ascii)))
         .withColumn("pun", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_punct(t))))
         .withColumn("sid", keep(exclusive_cumsum(ends)))
+        .withColumn("lmask", keep(F.expr(_mask_sql("lw", LOWER_SETS))))
+        .withColumn("tmask", keep(F.expr(_mask_sql("toks", TEXT_SETS))))
         .drop("_hd")
     )
     return out

@@ -175,7 +175,9 @@ def with_derived(body: str, names: list[str]) -> str:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Spark DataFrame of a derived table (registers the driver tables and
     any derived tables it depends on as temp views)."""
-    register_tables(spark, sf_dir)
-    for n in _deps([name]):
+    needed = _deps([name])
+    base = sorted({d for n in needed for d in DERIVED[n][1] if d not in DERIVED})
+    register_tables(spark, sf_dir, base)
+    for n in needed:
         spark.sql(DERIVED[n][0]).createOrReplaceTempView(n)
     return spark.table(name)

@@ -71,6 +71,16 @@ RULER_MATCHES_DOCUMENTS = sql([DOCS, ruler_match_sql("src")],
 
 _OVERLAP = "s.doc_id = b.doc_id AND s.tok_start < b.tok_end AND s.tok_end > b.tok_start"
 
+def _r20_ctes(src_cte: str, base: str = "base_spans") -> list[str]:
+    return [
+        src_cte, ruler_match_sql("src"),
+        fold_select("rm", "(tok_end - tok_start) DESC, tok_start DESC, prio", rejected_block=False, out="rsel"),
+        f"""ents0 AS (SELECT doc_id, tok_start, tok_end, label FROM {base} b
+                      WHERE NOT EXISTS (SELECT 1 FROM rsel s WHERE {_OVERLAP})
+                   UNION ALL SELECT doc_id, tok_start, tok_end, label FROM rsel)""",
+    ]
+
+
 R20_CTES = [
     RUL, ruler_match_sql("src"),
     fold_select("rm", "(tok_end - tok_start) DESC, tok_start DESC, prio", rejected_block=False, out="rsel"),
@@ -238,6 +248,8 @@ ANNOTATE_SELECT = """SELECT f.doc_id, f.tok_start, f.tok_end, f.label,
        a.tstarts[f.tok_end] + length(a.toks[f.tok_end]) AS char_end
 FROM fin f JOIN arrs a ON a.doc_id = f.doc_id"""
 ANNOTATE_RULINGS = sql(ANNOTATE_CTES, ANNOTATE_SELECT, ["rulings", "base_spans"])
+_NO_BASE = "no_base AS (SELECT CAST(NULL AS BIGINT) AS doc_id, 0 AS tok_start, 0 AS tok_end, 'x' AS label WHERE false)"
+ANNOTATE_DOCUMENTS = sql([_NO_BASE] + _r20_ctes(DOCS, "no_base") + ANNOTATE_CTES[len(R20_CTES):], ANNOTATE_SELECT)
 
 # --------------------------------------------------------------------------
 # dataset
@@ -445,6 +457,8 @@ ORACLES = {
     "article_violence_matches": ARTICLE_VIOLENCE,
     "token_rules": TOKEN_RULES,
     "annotate_rulings": ANNOTATE_RULINGS,
+    "annotate_documents": ANNOTATE_DOCUMENTS,
+    "convert_json_lines": OVERLAP_RESOLUTION,
     "label_filter": LABEL_FILTER,
     "overlap_resolution": OVERLAP_RESOLUTION,
     "label_counts": LABEL_COUNTS,

@@ -373,6 +373,61 @@ def q_concordance(spark, sf_dir):
     return audit.concordance(_audited(spark, sf_dir), "FECHA", 2)
 
 
+def q_convert_json_lines(spark, sf_dir):
+    """Raw annotations written as annotated JSON lines (one file
+    set in the shared scratch folder), scanned back with the fixed schema and
+    converted (F1 + W1 + F2)."""
+    from glosa.sources.annotated import list_input_files, read_annotated, scratch_path
+
+    raw = _raw(spark, sf_dir)
+    text = rulings(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
+    ann = raw.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("ann_start", "ann_end", "label"))).alias("a")
+    )
+    records = ann.join(text, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        "content",
+        F.transform(
+            "a",
+            lambda x: F.struct(
+                F.array(x["label"]).alias("label"),
+                F.array(F.struct(x["ann_start"].alias("start"), x["ann_end"].alias("end"),
+                                 F.lit(None).cast("string").alias("text"))).alias("points"),
+            ),
+        ).alias("annotation"),
+    )
+    path = scratch_path(spark, "annotated-json")
+    records.write.mode("overwrite").json(path)
+    conv = dataset.convert_documents(read_annotated(spark, list_input_files(spark, path)), None)
+    return conv.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline("entities")).select(
+        "doc_id", F.col("start").alias("ann_start"), F.col("end").alias("ann_end"), "label")
+
+
+def q_tagger_spans(spark, sf_dir):
+    """Fit the token tagger on the annotated rulings (BILUO from
+    ``ann``), predict spans back on the same documents (rows-only check)."""
+    from glosa.operators.tagger import fit_tagger, predict_spans, token_rows
+
+    rows = token_rows(_audited(spark, sf_dir)).persist()
+    model = fit_tagger(rows, max_iter=10)
+    pred = predict_spans(model, rows.drop("tag", "ent"))
+    rows.unpersist()
+    return pred
+
+
+def q_annotate_stream(spark, sf_dir):
+    """Structured Streaming: the documents table as a file stream, annotated
+    per micro-batch (rows-only check)."""
+    from glosa.sources.annotated import scratch_path
+    from glosa.streaming.annotate_stream import annotate_stream
+
+    sink = scratch_path(spark, "stream-sink")
+    q = annotate_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", sink,
+                        schema=read_table(spark, sf_dir, "documents").schema.simpleString()[7:-1], once=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
 QUERIES = {
     "tokens": q_tokens,
     "token_attributes": q_token_attributes,
@@ -387,6 +442,9 @@ QUERIES = {
     "token_rules": q_token_rules,
     "annotate_rulings": q_annotate_rulings,
     "annotate_documents": q_annotate_documents,
+    "convert_json_lines": q_convert_json_lines,
+    "tagger_spans": q_tagger_spans,
+    "annotate_stream": q_annotate_stream,
     "label_filter": q_label_filter,
     "overlap_resolution": q_overlap_resolution,
     "label_counts": q_label_counts,

@@ -27,6 +27,9 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "g
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs several JVM round trips per Column call while
+        # building the (large) rule expressions; it is a debugging aid only
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("GLOSA_DRIVER_MEMORY", "16g"))
     )
     if not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
