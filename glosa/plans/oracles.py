@@ -459,6 +459,7 @@ ORACLES = {
     "annotate_rulings": ANNOTATE_RULINGS,
     "annotate_documents": ANNOTATE_DOCUMENTS,
     "convert_json_lines": OVERLAP_RESOLUTION,
+    "annotate_stream": ANNOTATE_DOCUMENTS,
     "label_filter": LABEL_FILTER,
     "overlap_resolution": OVERLAP_RESOLUTION,
     "label_counts": LABEL_COUNTS,

@@ -409,7 +409,7 @@ def q_tagger_spans(spark, sf_dir):
     from glosa.operators.tagger import fit_tagger, predict_spans, token_rows
 
     rows = token_rows(_audited(spark, sf_dir)).persist()
-    model = fit_tagger(rows, max_iter=10)
+    model = fit_tagger(rows, max_iter=5, num_features=1 << 16)
     pred = predict_spans(model, rows.drop("tag", "ent"))
     rows.unpersist()
     return pred
@@ -422,8 +422,9 @@ def q_annotate_stream(spark, sf_dir):
     from glosa.streaming.annotate_stream import annotate_stream
 
     sink = scratch_path(spark, "stream-sink")
-    q = annotate_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", sink,
-                        schema=read_table(spark, sf_dir, "documents").schema.simpleString()[7:-1], once=True)
+    # a file stream reads a directory or a glob: the one-file table is matched by a glob
+    q = annotate_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", sink,
+                        schema=read_table(spark, sf_dir, "documents").schema, once=True)
     q.awaitTermination()
     return spark.read.parquet(sink)
 
