@@ -302,14 +302,31 @@ def in_set(name: str, i: Column, k: int = 0) -> Column:
 TOKEN_COLUMNS = ["toks", "n", "tstart", "lw", "shp", "lnum", "dig", "alp", "asc", "pun", "sid"]
 
 
-def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offsets: bool = True) -> DataFrame:
+def is_sentence_end(t: Column) -> Column:
+    return isin(t, SENTENCE_END) | t.contains("\n")
+
+
+def sentence_ends() -> Column:
+    """Positions of the sentence-final tokens (F12): a sentence ends after
+    ``.``, ``!``, ``?`` or a newline token."""
+    return F.filter(F.transform("toks", lambda t, j: F.when(is_sentence_end(t), j)), lambda x: x.isNotNull())
+
+
+def sentence_ids() -> Column:
+    """F12 per token: number of sentence ends before it (a prefix sum)."""
+    return exclusive_cumsum(F.transform("toks", lambda t: F.when(is_sentence_end(t), 1).otherwise(0)))
+
+
+def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offsets: bool = True,
+                sentences: bool = False) -> DataFrame:
     """Add the per-document token arrays to ``df``.
 
     toks   token texts                     n      number of tokens
     tstart char offset of each token       lw     lower-cased tokens
     shp    SHAPE (tokens holding a digit)  lnum   LIKE_NUM
     dig    IS_DIGIT   alp IS_ALPHA   asc IS_ASCII   pun IS_PUNCT
-    sid    sentence number of each token (F12)
+    ends   positions of sentence-final tokens (F12); ``sid`` (sentence number
+           of each token) only with ``sentences=True``
     lmask / tmask  word-list membership bits of the lower-cased / exact token
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -320,7 +337,6 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
         out = out.withColumn("_gaplen", F.transform(gaps, lambda g: F.length(g)))
         out = out.withColumn("_pstart", exclusive_cumsum(piece_len))
         out = out.withColumn("tstart", keep(F.zip_with("_pstart", "_gaplen", lambda p, g: p + g))).drop("_gaplen", "_pstart")
-    ends = F.transform("toks", lambda t: F.when(isin(t, SENTENCE_END) | t.contains("\n"), 1).otherwise(0))
     out = (
         out.withColumn("n", F.size("toks"))
         .withColumn("_hd", keep(F.transform("toks", lambda t: t.rlike(r"\d"))))
@@ -335,11 +351,13 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
         .withColumn("alp", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_alpha(t))))
         .withColumn("asc", keep(F.transform("toks", is_ascii)))
         .withColumn("pun", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_punct(t))))
-        .withColumn("sid", keep(exclusive_cumsum(ends)))
+        .withColumn("ends", keep(sentence_ends()))
         .withColumn("lmask", keep(F.expr(_mask_sql("lw", LOWER_SETS))))
         .withColumn("tmask", keep(F.expr(_mask_sql("toks", TEXT_SETS))))
         .drop("_hd")
     )
+    if sentences:
+        out = out.withColumn("sid", keep(sentence_ids()))
     return out
 
 

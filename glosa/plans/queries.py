@@ -87,7 +87,8 @@ def q_token_attributes(spark, sf_dir):
         cnt(F.transform("toks", like_email)).alias("n_like_email"),
         cnt(F.transform("toks", like_url)).alias("n_like_url"),
         cnt(F.transform("lw", is_adp)).alias("n_adp"),
-        F.coalesce(F.array_max("sid") + 1, F.lit(0)).cast("long").alias("n_sentences"),
+        F.when(F.col("n") > 0, F.size(F.filter("ends", lambda e: e < F.col("n") - 1)) + 1).otherwise(0)
+        .cast("long").alias("n_sentences"),
         F.size(F.filter("toks", lambda t: t.contains("\n"))).cast("long").alias("n_newlines"),
     )
 
