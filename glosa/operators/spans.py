@@ -97,6 +97,44 @@ def select_spans(arr: Column, rejected_block: bool = True, start_desc: bool = Fa
     return F.array_sort(kept, lambda a, b: _cmp(a["start"], b["start"]))
 
 
+def _sql_len(v: str) -> str:
+    return f"({v}.`end` - {v}.start)"
+
+
+def _sql_order(a: str, b: str, start_desc: bool) -> str:
+    lt, gt = ("1", "-1") if start_desc else ("-1", "1")
+    return (
+        f"CASE WHEN {_sql_len(a)} <> {_sql_len(b)} THEN (CASE WHEN {_sql_len(a)} > {_sql_len(b)} THEN -1 ELSE 1 END) "
+        f"WHEN {a}.start <> {b}.start THEN (CASE WHEN {a}.start < {b}.start THEN {lt} ELSE {gt} END) "
+        f"WHEN {a}.prio < {b}.prio THEN -1 WHEN {a}.prio > {b}.prio THEN 1 ELSE 0 END"
+    )
+
+
+def select_spans_col(name: str, rejected_block: bool = True, start_desc: bool = False) -> Column:
+    """``select_spans`` over the array column ``name``, written as one SQL
+    expression (same semantics; far cheaper to build than the Column API)."""
+    clean = f"array_distinct(filter(`{name}`, c -> c IS NOT NULL AND c.`end` > c.start))"
+    covers = ("(y.start <= x.start AND x.start < y.`end`) OR "
+              "(y.start <= x.`end` - 1 AND x.`end` - 1 < y.`end`)")
+    by_start = "(a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END"
+    if rejected_block:
+        earlier = f"({_sql_order('y', 'x', start_desc)}) < 0"
+        kept = f"filter({clean}, x -> NOT exists({clean}, y -> ({earlier}) AND ({covers})))"
+    else:
+        ordered = f"array_sort({clean}, (a, b) -> {_sql_order('a', 'b', start_desc)})"
+        kept = (f"aggregate({ordered}, filter({clean}, z -> false), "
+                f"(acc, x) -> CASE WHEN exists(acc, y -> {covers}) THEN acc ELSE concat(acc, array(x)) END)")
+    return F.expr(f"array_sort({kept}, {by_start})")
+
+
+def with_prio_col(name: str, base: int = 0) -> Column:
+    """``with_prio`` over the array column ``name`` as one SQL expression."""
+    return F.expr(
+        f"transform(`{name}`, (x, i) -> named_struct('start', x.start, 'end', x.`end`, 'label', x.label, "
+        f"'prio', CAST({int(base)} AS BIGINT) + i))"
+    )
+
+
 def drop_overlapping(existing: Column, winners: Column) -> Column:
     """Keep spans of ``existing`` that overlap no span of ``winners`` (true interval overlap)."""
     return F.filter(
