@@ -146,7 +146,8 @@ def is_alpha(t: Column) -> Column:
 
 
 def is_ascii(t: Column) -> Column:
-    return t.rlike(r"^[\x00-\x7F]*$")
+    """All characters ASCII <=> the UTF-8 byte length equals the character length."""
+    return F.octet_length(t) == F.length(t)
 
 
 def is_punct(t: Column) -> Column:
@@ -282,7 +283,25 @@ def _mask_sql(arr: str, sets: dict[str, list[str]]) -> str:
         f"(CASE WHEN w IN ({', '.join(sql_string(x) for x in words)}) THEN {1 << k} ELSE 0 END)"
         for k, words in enumerate(sets.values())
     )
-    return f"transform({arr}, w -> CAST({terms} AS BIGINT))"
+    union = sorted({w for words in sets.values() for w in words})
+    # most tokens are in no list: one hash lookup in the union decides that
+    guard = f"w IN ({', '.join(sql_string(x) for x in union)})"
+    return f"transform({arr}, w -> CASE WHEN {guard} THEN CAST({terms} AS BIGINT) ELSE CAST(0 AS BIGINT) END)"
+
+
+def doc_has(name: str) -> Column:
+    """The document holds at least one token of word list ``name``."""
+    if name in LOWER_SETS:
+        arr, bit = "lmask", 1 << list(LOWER_SETS).index(name)
+    else:
+        arr, bit = "tmask", 1 << list(TEXT_SETS).index(name)
+    return F.exists(arr, lambda m: m.bitwiseAND(F.lit(bit)) != 0)
+
+
+def candidates(pre) -> Column:
+    """Indices of the tokens for which ``pre(t, i)`` holds (a cheap superset
+    test run before the full rule conditions)."""
+    return F.filter(F.transform("toks", lambda t, i: F.when(pre(t, i), i)), lambda x: x.isNotNull())
 
 
 def in_set(name: str, i: Column, k: int = 0) -> Column:
@@ -302,6 +321,21 @@ def in_set(name: str, i: Column, k: int = 0) -> Column:
 TOKEN_COLUMNS = ["toks", "n", "tstart", "lw", "shp", "lnum", "dig", "alp", "asc", "pun", "sid"]
 
 
+def token_offsets(text_col: str = "text", when: Column | None = None) -> Column:
+    """Char offset of every token: exclusive prefix sum of (gap + token)
+    lengths plus the token's own gap.  With ``when``, rows where it is false
+    get an empty array and skip the second regex pass and the prefix sum."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    gaps = F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 1)
+    piece_len = F.zip_with(gaps, F.col("toks"), lambda g, t: F.length(g) + F.length(t))
+    gap_len = F.transform(gaps, lambda g: F.length(g))
+    if when is not None:
+        empty = F.filter(F.array(F.lit(0)), lambda x: F.lit(False))
+        piece_len = F.when(when, piece_len).otherwise(empty)
+        gap_len = F.when(when, gap_len).otherwise(empty)
+    return F.zip_with(exclusive_cumsum(piece_len), gap_len, lambda p, g: p + g)
+
+
 def is_sentence_end(t: Column) -> Column:
     return isin(t, SENTENCE_END) | t.contains("\n")
 
@@ -323,7 +357,7 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
 
     toks   token texts                     n      number of tokens
     tstart char offset of each token       lw     lower-cased tokens
-    shp    SHAPE (tokens holding a digit)  lnum   LIKE_NUM
+    shp    SHAPE (tokens holding a digit)  lnum   LIKE_NUM      hd  holds a digit
     dig    IS_DIGIT   alp IS_ALPHA   asc IS_ASCII   pun IS_PUNCT
     ends   positions of sentence-final tokens (F12); ``sid`` (sentence number
            of each token) only with ``sentences=True``
@@ -332,29 +366,24 @@ def token_frame(df: DataFrame, text_col: str = "text", compat: bool = True, offs
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = df.withColumn("toks", keep(F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 2)))
     if offsets:
-        gaps = F.regexp_extract_all(text, F.lit(GAP_TOKEN_REGEX), 1)
-        piece_len = F.zip_with(gaps, F.col("toks"), lambda g, t: F.length(g) + F.length(t))
-        out = out.withColumn("_gaplen", F.transform(gaps, lambda g: F.length(g)))
-        out = out.withColumn("_pstart", exclusive_cumsum(piece_len))
-        out = out.withColumn("tstart", keep(F.zip_with("_pstart", "_gaplen", lambda p, g: p + g))).drop("_gaplen", "_pstart")
+        out = out.withColumn("tstart", keep(token_offsets(text_col)))
     out = (
         out.withColumn("n", F.size("toks"))
-        .withColumn("_hd", keep(F.transform("toks", lambda t: t.rlike(r"\d"))))
+        .withColumn("hd", keep(F.transform("toks", lambda t: t.rlike(r"\d"))))
         .withColumn("lw", keep(F.transform("toks", F.lower)))
     )
     # SHAPE only for tokens holding a digit: every shape pattern holds one.
     out = (
-        out.withColumn("shp", keep(F.transform("toks", lambda t, i: F.when(F.get(F.col("_hd"), i), shape(t, compat)))))
-        .withColumn("lnum", keep(F.transform("toks", lambda t, i: F.when(F.get(F.col("_hd"), i), like_num(t))
+        out.withColumn("shp", keep(F.transform("toks", lambda t, i: F.when(F.get(F.col("hd"), i), shape(t, compat)))))
+        .withColumn("lnum", keep(F.transform("toks", lambda t, i: F.when(F.get(F.col("hd"), i), like_num(t))
                                              .otherwise(_word_like_num(F.get(F.col("lw"), i))))))
-        .withColumn("dig", keep(F.transform("toks", lambda t, i: F.get(F.col("_hd"), i) & is_digit(t))))
-        .withColumn("alp", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_alpha(t))))
+        .withColumn("dig", keep(F.transform("toks", lambda t, i: F.get(F.col("hd"), i) & is_digit(t))))
+        .withColumn("alp", keep(F.transform("toks", lambda t, i: ~F.get(F.col("hd"), i) & is_alpha(t))))
         .withColumn("asc", keep(F.transform("toks", is_ascii)))
-        .withColumn("pun", keep(F.transform("toks", lambda t, i: ~F.get(F.col("_hd"), i) & is_punct(t))))
+        .withColumn("pun", keep(F.transform("toks", lambda t, i: ~F.get(F.col("hd"), i) & is_punct(t))))
         .withColumn("ends", keep(sentence_ends()))
         .withColumn("lmask", keep(F.expr(_mask_sql("lw", LOWER_SETS))))
         .withColumn("tmask", keep(F.expr(_mask_sql("toks", TEXT_SETS))))
-        .drop("_hd")
     )
     if sentences:
         out = out.withColumn("sid", keep(sentence_ids()))
