@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosa.functions.text import token_offsets
 from glosa.operators.spans import span
 from glosa.plans.annotate import annotate_rows
 
@@ -20,7 +21,8 @@ def annotate_texts(spark, texts, base=None, stages=("ruler", "matcher", "custom"
         df = df.join(agg, "doc_id", "left").withColumn(
             "base", F.coalesce("base", F.filter(F.array(span(F.lit(0), F.lit(0), "x")), lambda x: F.lit(False))))
         base_col = "base"
-    out = annotate_rows(df, base_col=base_col, tag=tag, stages=stages).select("doc_id", "toks", "tstart", "ents").collect()
+    rows_df = annotate_rows(df, base_col=base_col, tag=tag, stages=stages).withColumn("tstart", token_offsets())
+    out = rows_df.select("doc_id", "toks", "tstart", "ents").collect()
     by = {r.doc_id: Doc(texts[r.doc_id], list(r.toks), list(r.tstart), {(e.start, e.end, e.label) for e in r.ents})
           for r in out}
     return [by[i] for i in range(len(texts))]
