@@ -78,6 +78,7 @@ def select_spans(arr: Column, rejected_block: bool = True, start_desc: bool = Fa
         def earlier(y: Column, x: Column) -> Column:
             return _length_order(y, x, start_desc) < 0
 
+        # (the inner array is re-evaluated per candidate here; pipelines use select_spans_df)
         kept = F.filter(
             clean,
             lambda x: ~F.exists(
@@ -110,10 +111,22 @@ def _sql_order(a: str, b: str, start_desc: bool) -> str:
     )
 
 
+def select_spans_df(df: DataFrame, name: str, out: str, rejected_block: bool = True,
+                    start_desc: bool = False) -> DataFrame:
+    """``select_spans`` over the array column ``name`` into column ``out``,
+    written as SQL (same semantics; cheap to build).  The cleaned candidate
+    array is materialised first so the nested lambda reads it instead of
+    rebuilding it for every candidate."""
+    from glosa.functions.text import keep
+
+    df = df.withColumn("_sc", keep(F.expr(f"array_distinct(filter(`{name}`, c -> c IS NOT NULL AND c.`end` > c.start))")))
+    return df.withColumn(out, keep(select_spans_col("_sc", rejected_block, start_desc))).drop("_sc")
+
+
 def select_spans_col(name: str, rejected_block: bool = True, start_desc: bool = False) -> Column:
-    """``select_spans`` over the array column ``name``, written as one SQL
-    expression (same semantics; far cheaper to build than the Column API)."""
-    clean = f"array_distinct(filter(`{name}`, c -> c IS NOT NULL AND c.`end` > c.start))"
+    """O1 over an array column that is already clean (no NULLs, no empty
+    spans, no duplicates) -- see ``select_spans_df``."""
+    clean = f"`{name}`"
     covers = ("(y.start <= x.start AND x.start < y.`end`) OR "
               "(y.start <= x.`end` - 1 AND x.`end` - 1 < y.`end`)")
     by_start = "(a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END"
