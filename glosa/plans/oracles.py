@@ -436,6 +436,16 @@ MISALIGNMENT_SUMMARY = sql(AUDIT_CTES + [
        CAST(misaligned_runs AS BIGINT) AS misaligned_runs,
        round(misaligned_runs / (CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END) * 100, 2) AS runs_pct,
        CAST(flagged AS BIGINT) AS flagged_annotations FROM sm""", ["rulings", "ann"])
+CLEANUP_SUMMARY = sql(AUDIT_CTES + [
+    """sm AS (SELECT (SELECT count(*) FROM rulings) AS n_docs, (SELECT count(*) FROM mis) AS misaligned_docs,
+                   (SELECT count(*) FROM fl WHERE NOT flag AND doc_id IN (SELECT doc_id FROM mis)) AS lost_sum,
+                   (SELECT count(*) FROM runs) AS misaligned_runs, (SELECT count(*) FROM fl WHERE flag) AS flagged)"""],
+    """SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(misaligned_docs AS BIGINT) AS misaligned_docs,
+       round(100.0 * misaligned_docs / n_docs, 2) AS misaligned_pct,
+       CAST(CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END AS BIGINT) AS total_lost,
+       CAST(misaligned_runs AS BIGINT) AS misaligned_runs,
+       round(misaligned_runs / (CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END) * 100, 2) AS runs_pct,
+       CAST(flagged AS BIGINT) AS flagged_annotations FROM sm""", ["rulings", "ann"])
 _WS, _NWS = "[ \\t\\n\\x0B\\f\\r]", "[^ \\t\\n\\x0B\\f\\r]"
 CONCORDANCE = sql([], f"""SELECT a.doc_id, a.char_start, a.char_end,
        substr(r.text, a.char_start + 1, a.char_end - a.char_start) AS ann_text,
@@ -487,5 +497,6 @@ ORACLES = {
     "clean_annotations": CLEAN_ANNOTATIONS,
     "misaligned_report": MISALIGNED_REPORT,
     "misalignment_summary": MISALIGNMENT_SUMMARY,
+    "cleanup_summary": CLEANUP_SUMMARY,
     "concordance": CONCORDANCE,
 }

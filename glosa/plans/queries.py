@@ -369,6 +369,12 @@ def q_misalignment_summary(spark, sf_dir):
     return audit.misalignment_summary(_audited(spark, sf_dir))
 
 
+def q_cleanup_summary(spark, sf_dir):
+    """Q3 + A8 as the cleanup job reports it: annotations of misaligned
+    documents counted AFTER the misaligned ones are removed."""
+    return audit.misalignment_summary(_audited(spark, sf_dir), after_removal=True)
+
+
 def q_concordance(spark, sf_dir):
     """K1: FECHA annotations with two words of context on each side."""
     return audit.concordance(_audited(spark, sf_dir), "FECHA", 2)
@@ -474,5 +480,6 @@ QUERIES = {
     "clean_annotations": q_clean_annotations,
     "misaligned_report": q_misaligned_report,
     "misalignment_summary": q_misalignment_summary,
+    "cleanup_summary": q_cleanup_summary,
     "concordance": q_concordance,
 }
