@@ -10,23 +10,9 @@ class patterns are shared, because they are the contract.
 from __future__ import annotations
 
 from glosa.functions import vocab
-from glosa.functions.text import (
-    ACCUSED_ADVISOR_FORMS,
-    EMAIL_REGEX,
-    GAP_TOKEN_REGEX,
-    JUDGE_FORMS,
-    NATIONALITY_FORMS,
-    OMBUDS_FORMS,
-    PHONE_FORMS,
-    PROSECUTOR_FORMS,
-    SECRETARY_FORMS,
-    URL_TLDS,
-)
+from glosa.functions.text import EMAIL_REGEX, GAP_TOKEN_REGEX, NATIONALITY_FORMS, URL_TLDS
 from glosa.operators import ruler as R
-from glosa.operators import sequence as S
-from glosa.operators.context import IP_REGEX
 from glosa.operators.spans import IDX_DIGITS, encode_pattern
-from glosa.plans.fixtures import with_derived
 
 
 def q(s: str) -> str:

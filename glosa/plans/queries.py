@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glosa.functions.text import is_adp, like_email, like_url, shape, token_frame
 from glosa.operators import audit, dataset, history, score
-from glosa.operators.context import apply_custom, entity_rule_spans, token_rule_spans
+from glosa.operators.context import token_rule_spans
 from glosa.operators.ruler import apply_ruler, ruler_matches
 from glosa.operators.sequence import (
     apply_num_matcher,
@@ -21,7 +21,7 @@ from glosa.operators.sequence import (
     num_exclusions,
     violence_matches,
 )
-from glosa.operators.spans import explode_spans, select_spans, span
+from glosa.operators.spans import explode_spans, span
 from glosa.plans.annotate import annotate, spread
 from glosa.plans.fixtures import BASE_SPANS, PREFIX_TOKENS, derived
 from glosa.session import read_table
