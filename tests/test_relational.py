@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from glosa.operators import dataset, history, score
-from glosa.operators.spans import select_spans, span
+from glosa.operators.spans import select_spans
 
 
 def _w1_brute(spans):
