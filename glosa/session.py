@@ -43,11 +43,12 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "g
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="glosa-ckpt-")
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosa-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext.getCheckpointDir() or d
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
