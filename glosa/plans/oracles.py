@@ -294,7 +294,7 @@ BATCHES_FIXED = sql([_rank(1)], "SELECT doc_id, CAST(rk AS BIGINT) AS rk, CAST(f
 
 
 def _compounding_case(start: float, stop: float, rate: float) -> str:
-    sizes = compounding_sizes(start, stop, rate, 10 ** 9)
+    sizes = compounding_sizes(start, stop, rate, 10_000)  # the ramp; the constant tail is closed form
     cap = int(stop)
     parts, lo = [], 1
     b = 0
