@@ -3,6 +3,35 @@ relational brute force with its own patterns and constants."""
 
 from __future__ import annotations
 
+# --- 1: every window counted --------------------------------------------------------------------
+
+_OP1 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, unnest(range(0, len(h) // 2 - 399)) AS i, h FROM d WHERE len(h) >= 800),
+m AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM w),
+r AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY m) AS n FROM m) WHERE n > 1),
+g AS (SELECT rid, i, i > lag(i, 1, -1000) OVER (PARTITION BY rid ORDER BY i) + 400 AS opens FROM r),
+k AS (SELECT rid, i, sum(opens::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM g),
+s AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY rid, run),
+p AS (SELECT s.rid, run, a, b, substr(h, 2 * lag(b, 1, 0) OVER o + 1, 2 * (a - lag(b, 1, 0) OVER o)) AS piece
+      FROM s JOIN d ON d.rid = s.rid WINDOW o AS (PARTITION BY s.rid ORDER BY run)),
+t AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY run) AS front, max(b) AS last FROM p GROUP BY rid)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)"""
+
+# --- 5: digests straight from the rows, lengths from the template's rule ------------------------
+
+_OP5 = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+l AS (SELECT *, length(text) + length(text) - length(translate(text, '\#<', '')) AS t_len,
+             length(role) + length(role) - length(translate(role, '\#<:', '')) AS r_len FROM r),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(4 + r_len + 2 + t_len + 8)::BIGINT AS formatted_chars FROM l GROUP BY conv_id)
+SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
 # --- 2: positions from the pieces between matches --------------------------------------------
 
 _SECRET_KINDS = [  # kind, pattern, group, least length
@@ -60,9 +89,9 @@ FROM r"""
 # --- 6: all pairs of the stated query set -----------------------------------------------------
 
 _OP6 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
       FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
@@ -73,7 +102,7 @@ _OP7 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                  '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [list_aggregate(ws, 'string_agg', ' ')]
-        ELSE list_transform(range(1, len(ws) - 3), i -> list_aggregate(ws[i:i + 4], 'string_agg', ' ')) END) AS s FROM w),
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' ')) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
@@ -133,8 +162,10 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
 FROM r"""
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": _OP1,
     "op2_secret_scans": _op2(),
     "op3_url_filters": _OP3,
+    "op5_chat_formatting": _OP5,
     "op6_exact_topk": _OP6,
     "op7_minhash_dedup": _OP7,
     "op9_quality_rules": _OP9,
