@@ -5,9 +5,11 @@ classes.  SuperMinHash signatures of ``BANDS * ROWS`` slots are cut into bands;
 classes that share a band share a bucket.  Candidates are confirmed on their
 full sets: linked if 100 * intersection >= 75 * union.
 
-No bucket is turned into all its pairs.  First each class is held against the
-smallest class of its buckets, which joins groups of copies to stars; then the
-remaining pairs of a bucket's smallest member that lie in different groups; last,
+No bucket is turned into all its pairs.  The class that meets the most others over
+all its buckets is a bucket's centre, so that the text which copies were made from
+stands for them.  First each class is held against the greatest centre of its
+buckets, which joins groups of copies to stars; then against the other centres of
+its buckets, where these lie in different groups; last,
 pairs of members of one bucket that still lie in different groups, of which only
 those whose signatures agree on ``LEAST_EQUAL`` slots leave the task (at 0.75 the
 expectation is 96 of 128, five standard deviations above).  Large buckets are
@@ -145,18 +147,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .select("digest", "rep", "bands", "sketch", F.monotonically_increasing_id().alias("cid")), "classes")
     members = classes.select("cid", F.explode("bands").alias("band"))
-    buckets = written(members.groupBy("band").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1"), "buckets")
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = written(members.join(buckets, "band"), "members")  # of buckets with company
-    stars = written(members.where("cid <> centre").groupBy("centre", "cid").agg(F.count(F.lit(1)).alias("shared")).select(
-        F.col("centre").alias("a"), F.col("cid").alias("b")), "candidates")
+    degree = members.groupBy(F.col("cid").alias("__cid")).agg(F.sum("k").alias("degree"))
+    members = written(members.join(degree, F.col("cid") == F.col("__cid")).select("band", "cid", "degree"), "members")
+    centres = members.groupBy(F.col("band").alias("__band")).agg(F.max(F.struct("degree", "cid")).alias("c"))
+    stars = members.join(centres, F.col("band") == F.col("__band")).where("cid <> c.cid")
+    stars = written(stars.groupBy(F.col("c.cid").alias("a"), F.col("cid").alias("b")).agg(F.first("c.degree").alias("degree")), "candidates")
     # the texts of the classes in question, found again in the documents
     asked = members.select("cid").distinct().join(classes.select("cid", "rep.*"), "cid").select(
         "cid", F.col("id").alias("__id"), F.col("h").alias("__h"))
     source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(blank(text)).alias("h"), blank(text).alias("text"))
     texts = written(source.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
                     .select("cid", "text").dropDuplicates(["cid"]), "texts")
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
-    links = confirmed(first.select("a", "b"), texts)
+    first = written(stars.groupBy("b").agg(F.max(F.struct("degree", "a")).alias("c")).select("c.a", "b"), "first-pairs")
+    links = confirmed(first, texts)
     groups = written(components(links), "groups")
     apart = label(label(stars, groups, "a", "ca"), groups, "b", "cb").where("ca <> cb").select("a", "b")
     apart = written(apart.join(first.withColumnsRenamed({"a": "fa", "b": "fb"}), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti"), "apart")
@@ -173,7 +178,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "group")
     held = held.join(classes.select("cid", "sketch"), "cid").select("band", "x", "y", "mine", "cid", "group", "sketch")
     across = held.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_across, "a long, b long").distinct()
-    known = tried.unionByName(first.select("a", "b"))
+    known = tried.unionByName(first)
     across = written(across.join(known.withColumnsRenamed({"a": "ka", "b": "kb"}), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"), "across")
     links = links.unionByName(confirmed(across, texts))
     groups = written(components(links), "groups")

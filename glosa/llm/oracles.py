@@ -20,6 +20,48 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_rem
        sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN t USING (rid)"""
 
+# --- 4 -----------------------------------------------------------------------------------------
+
+_OP4_TEMPLATES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ Terms and conditions for use, reproduction, and distribution"),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+_OP4 = r"""
+WITH t(license, unit) AS (VALUES TEMPLATE_ROWS),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || floor(doc_id / 100)::BIGINT AS folder,
+        regexp_matches(coalesce(text, ''), '^(Licensed under|Released under|This work is licensed under) ') AS lic FROM documents),
+l AS (SELECT DISTINCT rid, unit FROM (SELECT rid, unnest(string_split(text, chr(10))) AS unit FROM d)
+      WHERE regexp_matches(unit, '(?i)licen[sc]e|copyright|spdx|public domain|permission is hereby|redistribution and use')
+      UNION SELECT rid, text FROM d WHERE lic),
+u AS (SELECT DISTINCT unit FROM l),
+uw AS (SELECT unit, word, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+([.-][a-z0-9]+)*')) AS word FROM u) GROUP BY 1, 2),
+tw AS (SELECT unit AS template, license, word, count(*) AS tf FROM (SELECT license, unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+([.-][a-z0-9]+)*')) AS word FROM t) GROUP BY 1, 2, 3),
+n AS (SELECT (SELECT count(*) FROM u) + (SELECT count(*) FROM t) AS n),
+i AS (SELECT word, ln((n + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS idf FROM (SELECT word FROM uw UNION ALL SELECT word FROM tw), n GROUP BY word, n),
+ux AS (SELECT unit, word, tf * idf AS w FROM uw JOIN i USING (word)), tx AS (SELECT template, license, word, tf * idf AS w FROM tw JOIN i USING (word)),
+un AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM ux GROUP BY unit), tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tx GROUP BY template),
+c AS (SELECT ux.unit, tx.template, tx.license, sum(ux.w * tx.w) AS dot FROM ux JOIN tx USING (word) GROUP BY 1, 2, 3),
+m AS (SELECT c.unit, license, round(dot / (un.norm * tn.norm), 4) AS cosine FROM c JOIN un USING (unit) JOIN tn USING (template)),
+o AS (SELECT rid, license, cosine FROM l JOIN m USING (unit) WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, license) = 1),
+f AS (SELECT d.*, o.license, o.cosine FROM d LEFT JOIN o USING (rid)),
+s AS (SELECT folder, license, cosine FROM f WHERE lic AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1)
+SELECT doc_id, f.folder || '/' || CASE WHEN lic THEN 'LICENSE-' || doc_id ELSE 'doc-' || doc_id || '.txt' END AS path,
+       coalesce(f.license, s.license) AS license, coalesce(f.cosine, s.cosine) AS cosine,
+       CASE WHEN f.license IS NOT NULL THEN CASE WHEN lic THEN 'file' ELSE 'header' END WHEN s.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN f.license IS NULL THEN s.folder END AS from_dir
+FROM f LEFT JOIN s ON s.folder = f.folder""".replace("TEMPLATE_ROWS", ", ".join(f"('{a}', '{b}')" for a, b in _OP4_TEMPLATES))
+
 # --- 5: digests straight from the rows, lengths from the template's rule ------------------------
 
 _OP5 = r"""
@@ -165,6 +207,7 @@ ORACLES: dict[str, str] = {
     "op1_suffix_dedup": _OP1,
     "op2_secret_scans": _op2(),
     "op3_url_filters": _OP3,
+    "op4_license_scans": _OP4,
     "op5_chat_formatting": _OP5,
     "op6_exact_topk": _OP6,
     "op7_minhash_dedup": _OP7,

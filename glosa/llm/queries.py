@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosa.llm import chat, dedup, mixing, quality, secrets, suffix, topk, urls
+from glosa.llm import chat, dedup, licenses, mixing, pieces, quality, secrets, suffix, topk, urls
 from glosa.llm import oracles
 from glosa.session import read_table
 
@@ -24,6 +24,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(licenses.document_paths(read_table(spark, sf_dir, "documents")))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"  # a conversation that holds the template's own marks
@@ -39,6 +43,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -53,9 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op3_url_filters": op3_url_filters,
+    "op4_license_scans": op4_license_scans,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_exact_topk": op6_exact_topk,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
