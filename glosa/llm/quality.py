@@ -99,11 +99,13 @@ def host_verdicts(tested: DataFrame, host: str = "source", failed: str = "base_f
     raw = F.col("fails") / F.col("n")
     total = hosts.agg((F.sum("fails") / F.sum("n")).alias("m"), F.var_pop(raw).alias("v"),
                       F.avg(1 / F.col("n")).alias("noise"))
-    spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("noise"), F.lit(1e-12))
-    prior = total.select(  # one row
-        "m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(1.0)), F.lit(1e6)).alias("strength"))
-    rate = (F.col("fails") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "fails", rate.alias("rate"), (rate > max_rate).alias("rejected"))
+    row = total.first()  # three numbers
+    m, strength = row["m"] or 0.0, 1.0
+    if row["m"] is not None:
+        spread = max(row["v"] - m * (1 - m) * row["noise"], 1e-12)
+        strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e6)
+    rate = (F.col("fails") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
+    return hosts.select("host", "n", "fails", rate.alias("rate"), (rate > max_rate).alias("rejected"))
 
 
 def judged(tested: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:

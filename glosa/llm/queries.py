@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glosa.llm import chat, dedup, licenses, mixing, pieces, quality, secrets, suffix, topk, urls
 from glosa.llm import oracles
 from glosa.session import read_table
@@ -68,6 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -103,8 +103,10 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     frequency = used.join(broadcast_if_small(wanted), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     index = written(indexed(table, frequency), "url-rule-index")
     hits = distinct.select("address", F.explode("tokens").alias("token")).join(broadcast_if_small(index), "token").drop("token")
-    always = table.where(F.size("tokens") == 0).select("name", "action", "pattern", "rank", "listed")
-    hits = hits.unionByName(distinct.select("address").join(broadcast_if_small(always)))
+    always = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"),
+                                F.lit(r.rank).cast("long").alias("rank"), F.lit(r.listed).alias("listed")) for r in rules if not r.tokens])
+    if any(not r.tokens for r in rules):
+        hits = hits.unionByName(distinct.select("address", F.explode(always).alias("r")).select("address", "r.*"))
     fits = hits.where(F.regexp_like("address", F.col("pattern")))
     won = fits.groupBy("address").agg(F.max_by(F.struct("name", "action", "listed"), F.struct("rank", "name")).alias("w"))
     won = won.select(F.col("address").alias("__address"), "w")
