@@ -27,6 +27,9 @@ WS = r"[ \t\n\x0B\f\r]"  # whitespace
 GAP = r"[ \t\x0B\f\r]"  # whitespace that never forms a token
 NWS = r"[^ \t\n\x0B\f\r]"
 
+# No ASCII word character follows (what ``\b`` means after one where it is ASCII only).
+WORD_END = r"(?![A-Za-z0-9_])"
+
 # Extensions ordered so that no entry is a prefix of a later one (alternation is first-match).
 _FILE_EXT_ALT = "jpg|png|gif|bmp|tiff|svg|docx|doc|odt|txt|pdf|mp3|avi|mp4|mkv|mpeg|mpg|mov|asf|webm|3gp|3g2|m4v"
 
@@ -38,7 +41,7 @@ TOKEN_ALTERNATIVES = [
     # abbreviations that keep their dot
     r"(?:[Aa]v|[Pp]ág|[Pp]|[Ss]ra|[Ss]r|[Dd]ra|[Dd]r|EE|UU)\.",
     # file name with a known extension
-    rf"{W}+(?:-{W}+)*\.(?:{_FILE_EXT_ALT})",
+    rf"{W}+(?:-{W}+)*\.(?:{_FILE_EXT_ALT}){WORD_END}",
     # anything holding a digit: 15612/20, 32.481.145, 174bis, J-01-00001234-1/2020-0
     rf"(?:{W}+-)?{W}*\d{W}*(?:[.,/:-]{W}*\d{W}*)*(?:\.-)?",
     # words ("-de" is one token)
@@ -114,7 +117,7 @@ def shape(t: Column, compat: bool = True) -> Column:
     s = F.translate(s, "\u0001\u0002\u0003", "Xxd")
     if compat:
         s = F.regexp_replace(s, r"(?s)(.)\1{4,}", "$1$1$1$1")
-    return F.when(F.length(t) >= 100, F.lit("LONG")).otherwise(s)
+    return s
 
 
 def like_num(t: Column) -> Column:

@@ -31,10 +31,6 @@ def span(start: Column, end: Column, label: str | Column, prio: Column | int = 0
     )
 
 
-def empty_spans() -> Column:
-    return F.lit(None).cast(SPAN_DDL)
-
-
 def non_null(arr: Column) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
@@ -192,9 +188,9 @@ def encode_classes(cls: Column) -> Column:
     )
 
 
-def matches_from_encoded(encoded: Column, regex: str, label: str | Column, prio: int = 0) -> Column:
+def matches_from_encoded(encoded: Column, regex: str, label: str | Column, prio: int = 0, group: int = 0) -> Column:
     """All leftmost-greedy matches of ``regex`` as spans (linear, no prefix sums)."""
-    ms = F.regexp_extract_all(encoded, F.lit(regex), 0)
+    ms = F.regexp_extract_all(encoded, F.lit(regex), group)
     first = lambda m: F.substring(m, 2, IDX_DIGITS).cast("int")
     last = lambda m: F.substring(m, -IDX_DIGITS, IDX_DIGITS).cast("int")
     return F.transform(ms, lambda m: span(first(m), last(m) + 1, label, prio))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glosa.functions import vocab
 from glosa.session import register_tables
 
 PREFIX_TOKENS = 18  # tokens before the branch sentence of every ruling
@@ -42,6 +43,21 @@ BRANCHES = [
     "Intervino la jueza Ana Gómez junto al secretario Luis Pérez y al fiscal Juan Díaz.",
     "El defensor Pablo Ruiz y la asesora Eva Sosa asistieron a la imputada Rosa Vera, "
     "domiciliada en Moreno 1234, teléfono 4567-8901.",
+    # date ranges, several forms on shared tokens
+    "Desde el 3 de mayo al 4 de junio de 2020 y del 15 de mayo del 2021 1 a junio 4, mayo de, julio.",
+    "A los 12 días del mes de agosto de 2019 al 3 de marzo y el 1 de abril año 2020 7.",
+    # chains of two to six joined numbers
+    "Sumó uno y dos, uno y dos y tres, uno y dos y tres y cuatro pesos.",
+    "Sumó uno y dos y tres y cuatro y cinco, mil cien y dos y tres y seis y siete y ocho metros.",
+    # missing space after a full stop, file names
+    "Ver el fin.documento y avi.avión, el archivo informe.doc, foto.jpg y nota.docx.",
+    # digit phones, laws by number, makes of two words
+    "Del teléfono 44445555 y el celular 1144445555, ley número 23737, "
+    + " ".join(f"marca {m}," for m in vocab.CAR_MAKES_TWO_WORDS) + " fin.",
+    "Cuentas en " + ", ".join(b for b in vocab.BANKS if "?" not in b) + ".",
+    " ".join(f"{c} J-0{i}-00001234-1/2020-0," for i, c in enumerate(vocab.CUIJ_PREFIXES)) + " caso 12, causa nº 77.",
+    "La víctima tenía 17 años. La propiedad de 30 años fue tasada. Edad 20 años",
+    "ok",
 ]
 K = len(BRANCHES)
 

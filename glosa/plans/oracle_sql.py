@@ -10,7 +10,7 @@ class patterns are shared, because they are the contract.
 from __future__ import annotations
 
 from glosa.functions import vocab
-from glosa.functions.text import EMAIL_REGEX, GAP_TOKEN_REGEX, NATIONALITY_FORMS, URL_TLDS
+from glosa.functions.text import EMAIL_REGEX, GAP_TOKEN_REGEX, NATIONALITY_FORMS, URL_TLDS, WORD_END
 from glosa.operators import ruler as R
 from glosa.operators.spans import IDX_DIGITS, encode_pattern
 
@@ -27,7 +27,7 @@ def inlist(words: list[str]) -> str:
 def tokens_ctes(src: str) -> str:
     """CTEs ``t0, t1, tk``: one row per token of ``src(doc_id, text)`` with
     attributes and neighbours."""
-    rx = q(GAP_TOKEN_REGEX)
+    rx = q(GAP_TOKEN_REGEX.replace(WORD_END, r"\b"))  # RE2 has no look-ahead; its \b is ASCII
     nl = "chr(10)"
     shape_raw = (
         "translate(regexp_replace(regexp_replace(regexp_replace(tok, '\\p{Lu}', chr(1), 'g'), "
@@ -57,10 +57,9 @@ t2 AS (SELECT doc_id, CAST(i AS INT) AS i, CAST(n AS INT) AS n, tok, lower(tok)
          CASE WHEN tok IN ('.', '!', '?') OR contains(tok, {nl}) THEN 1 ELSE 0 END AS is_end
        FROM t1),
 tk AS (SELECT *,
-         CASE WHEN length(tok) >= 100 THEN 'LONG' ELSE
-           array_to_string(list_filter(string_split(shape_raw, ''), lambda c, j:
+         array_to_string(list_filter(string_split(shape_raw, ''), lambda c, j:
              NOT (j > 4 AND c = string_split(shape_raw, '')[j - 1] AND c = string_split(shape_raw, '')[j - 2]
-                  AND c = string_split(shape_raw, '')[j - 3] AND c = string_split(shape_raw, '')[j - 4])), '') END AS shp,
+                  AND c = string_split(shape_raw, '')[j - 3] AND c = string_split(shape_raw, '')[j - 4])), '') AS shp,
          CAST(coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS sid,
          lag(lw, 1) OVER w AS lw_1, lag(lw, 2) OVER w AS lw_2, lag(lw, 3) OVER w AS lw_3, lag(lw, 4) OVER w AS lw_4,
          lag(tok, 1) OVER w AS tok_1, lag(tok, 2) OVER w AS tok_2,
@@ -127,8 +126,14 @@ def ruler_match_sql(src: str) -> str:
     add("cbu", 0, "tok = 'CBU' AND dig1 AND length(tok1) = 22", 2, "CBU")
     add("cbu", 1, "tok = 'CBU' AND tok1 = ':' AND dig2 AND length(tok2) = 22", 3, "CBU")
     parts = list(one)
-    for k, pat in enumerate(R.DATE_PATTERNS):
-        parts.append(class_spans("date_enc", pat, "FECHA", G("fecha") * 100 + k))
+    opt = ["", "[Aelp]"], ["", "n"]
+    forms = [(0, "M" + a + n) for a in opt[0] for n in opt[1]]
+    forms += [(1, "ALnD" + l + m + "eM" + a + n) for l in ("", "l") for m in ("", "m") for a in opt[0] for n in opt[1]]
+    forms += [(2, "n[Aelp]M" + a + y + n) for a in opt[0] for y in ("", "Y") for n in opt[1]]
+    for k, form in forms:  # every form at every start
+        width = len(form.replace("[Aelp]", "p"))
+        parts.append(f"SELECT doc_id, i AS tok_start, i + {width} AS tok_end, 'FECHA' AS label, {G('fecha') * 100 + k} AS prio "
+                     f"FROM date_next WHERE regexp_matches(nxt, '^{form}')")
     parts.append(class_spans("user_enc", R.USER_PATTERN, "USUARIX", G("usuarix") * 100))
     bank_rx = R.bank_regex(True)
     parts.append(
@@ -138,7 +143,9 @@ def ruler_match_sql(src: str) -> str:
         f"FROM (SELECT doc_id, unnest(regexp_extract_all(wenc, {q(bank_rx)})) AS m FROM word_enc)"
     )
     return f"""{tokens_ctes(src)},
-date_enc AS ({classes_enc(DATE_CLS)}),
+date_c AS (SELECT doc_id, i, {DATE_CLS} AS c FROM tk),
+date_next AS (SELECT doc_id, i, c || {" || ".join(f"coalesce(lead(c, {k}) OVER w, '')" for k in range(1, 10))} AS nxt
+              FROM date_c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 user_enc AS ({classes_enc(USER_CLS)}),
 word_enc AS (SELECT doc_id, string_agg(chr(1) || lpad(CAST(i AS VARCHAR), {IDX_DIGITS}, '0') || chr(2)
               || replace(replace(replace(lw, chr(1), ''), chr(2), ''), chr(3), '') || chr(3), '' ORDER BY i) AS wenc

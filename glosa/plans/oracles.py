@@ -92,8 +92,12 @@ RULER_OVERWRITE = sql(R20_CTES, "SELECT doc_id, tok_start, tok_end, label FROM e
 
 NUM_CLS = f"CASE WHEN lw IN {inlist(vocab.NUM_WORDS)} THEN 'N' WHEN tok = 'y' THEN 'y' WHEN dig THEN 'D' ELSE 'o' END"
 NUM_CTES = [
-    f"num_enc AS ({classes_enc(NUM_CLS)})",
-    f"nc0 AS ({class_spans('num_enc', S.NUM_PATTERN, 'NUM')})",
+    f"""ncls AS (SELECT doc_id, i, {NUM_CLS} AS c FROM tk)""",
+    """nstr AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS s FROM ncls GROUP BY doc_id)""",
+    """nm AS (SELECT doc_id, CAST(i AS INT) AS tok_start, CAST(i + CASE c WHEN 'D' THEN 1 ELSE
+             length(regexp_extract(substr(s, i + 1), '^(N+y*N+y*N+y*N+|N+)', 1)) END AS INT) AS tok_end, 'NUM' AS label, 0 AS prio
+             FROM ncls JOIN nstr USING (doc_id) WHERE c IN ('N', 'D'))""",
+    fold_select("nm", "(tok_end - tok_start) DESC, tok_start, prio", rejected_block=True, out="nc0"),
     f"""nc AS (SELECT c.doc_id, c.tok_start, c.tok_end, c.label FROM nc0 c JOIN tk t ON t.doc_id = c.doc_id AND t.i = c.tok_start
             WHERE NOT (coalesce(t.tok_1 IN {inlist(vocab.PAGE_FIRST_LEFT)}, false)
                     OR coalesce(t.tok_2 IN {inlist(vocab.PAGE_SECOND_LEFT)}, false)
@@ -342,7 +346,7 @@ MACRO_SCORES = sql([MATCHED, DOC_COUNTS],
 PER_LABEL_SCORES = sql(
     [MATCHED,
      """lc AS (SELECT doc_id, label, CAST(count_if(in_gold AND in_pred) AS DOUBLE) AS tp, CAST(count_if(in_pred AND NOT in_gold) AS DOUBLE) AS fp,
-                     CAST(count_if(in_gold AND NOT in_pred) AS DOUBLE) AS fn FROM m GROUP BY doc_id, label HAVING tp + fp > 0),
+                     CAST(count_if(in_gold AND NOT in_pred) AS DOUBLE) AS fn FROM m GROUP BY doc_id, label),
         lf AS (SELECT label, tp / (tp + fp + 1e-100) AS p, tp / (tp + fn + 1e-100) AS r FROM lc)"""],
     f"SELECT label, round(sum(2.0 * p * r / (p + r + 1e-100) * 100) / (SELECT count(*) FROM orders), {ROUND}) AS f_score "
     f"FROM lf GROUP BY label", ["gold", "pred"])
@@ -423,7 +427,8 @@ MISALIGNED_ANNOTATIONS = sql(AUDIT_CTES, "SELECT doc_id, char_start, char_end, l
                              ["rulings", "ann"])
 CLEAN_ANNOTATIONS = sql(AUDIT_CTES, "SELECT doc_id, char_start, char_end, label FROM fl WHERE NOT flag", ["rulings", "ann"])
 MISALIGNED_REPORT = sql(AUDIT_CTES, """SELECT r.doc_id, substr(r.text, 1, 700) AS text,
-       CAST((SELECT count(*) FROM fl WHERE fl.doc_id = r.doc_id AND flag) AS BIGINT) AS n_annotations,
+       coalesce((SELECT string_agg(char_start || '|' || char_end || '|' || label || '|' || ann_text, ';' ORDER BY char_start, char_end, label)
+                 FROM fl WHERE fl.doc_id = r.doc_id AND flag), '') AS annotations,
        CAST((SELECT count(*) FROM runs WHERE runs.doc_id = r.doc_id) AS BIGINT) AS n_runs
 FROM rulings r JOIN mis ON mis.doc_id = r.doc_id""", ["rulings", "ann"])
 MISALIGNMENT_SUMMARY = sql(AUDIT_CTES + [
@@ -431,21 +436,23 @@ MISALIGNMENT_SUMMARY = sql(AUDIT_CTES + [
                    (SELECT count(*) FROM an WHERE doc_id IN (SELECT doc_id FROM mis)) AS lost_sum,
                    (SELECT count(*) FROM runs) AS misaligned_runs, (SELECT count(*) FROM fl WHERE flag) AS flagged)"""],
     """SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(misaligned_docs AS BIGINT) AS misaligned_docs,
-       round(100.0 * misaligned_docs / n_docs, 2) AS misaligned_pct,
-       CAST(CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END AS BIGINT) AS total_lost,
+       round(100.0 * misaligned_docs / greatest(n_docs, 1), 2) AS misaligned_pct,
+       CAST(greatest(lost_sum, 1) AS BIGINT) AS total_lost,
        CAST(misaligned_runs AS BIGINT) AS misaligned_runs,
-       round(misaligned_runs / (CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END) * 100, 2) AS runs_pct,
+       round(misaligned_runs / greatest(lost_sum, 1) * 100, 2) AS runs_pct,
        CAST(flagged AS BIGINT) AS flagged_annotations FROM sm""", ["rulings", "ann"])
 CLEANUP_SUMMARY = sql(AUDIT_CTES + [
     """sm AS (SELECT (SELECT count(*) FROM rulings) AS n_docs, (SELECT count(*) FROM mis) AS misaligned_docs,
                    (SELECT count(*) FROM fl WHERE NOT flag AND doc_id IN (SELECT doc_id FROM mis)) AS lost_sum,
                    (SELECT count(*) FROM runs) AS misaligned_runs, (SELECT count(*) FROM fl WHERE flag) AS flagged)"""],
     """SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(misaligned_docs AS BIGINT) AS misaligned_docs,
-       round(100.0 * misaligned_docs / n_docs, 2) AS misaligned_pct,
-       CAST(CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END AS BIGINT) AS total_lost,
+       round(100.0 * misaligned_docs / greatest(n_docs, 1), 2) AS misaligned_pct,
+       CAST(greatest(lost_sum, 1) AS BIGINT) AS total_lost,
        CAST(misaligned_runs AS BIGINT) AS misaligned_runs,
-       round(misaligned_runs / (CASE WHEN misaligned_docs > 0 THEN lost_sum ELSE 1 END) * 100, 2) AS runs_pct,
+       round(flagged / greatest(lost_sum, 1) * 100, 2) AS removed_pct,
        CAST(flagged AS BIGINT) AS flagged_annotations FROM sm""", ["rulings", "ann"])
+LOST_BY_LABEL = sql(AUDIT_CTES, "SELECT label, count(*) AS n FROM an WHERE doc_id IN (SELECT doc_id FROM mis) GROUP BY label",
+                    ["rulings", "ann"])
 _WS, _NWS = "[ \\t\\n\\x0B\\f\\r]", "[^ \\t\\n\\x0B\\f\\r]"
 CONCORDANCE = sql([], f"""SELECT a.doc_id, a.char_start, a.char_end,
        substr(r.text, a.char_start + 1, a.char_end - a.char_start) AS ann_text,
@@ -498,5 +505,6 @@ ORACLES = {
     "misaligned_report": MISALIGNED_REPORT,
     "misalignment_summary": MISALIGNMENT_SUMMARY,
     "cleanup_summary": CLEANUP_SUMMARY,
+    "lost_by_label": LOST_BY_LABEL,
     "concordance": CONCORDANCE,
 }

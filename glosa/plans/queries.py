@@ -22,7 +22,7 @@ from glosa.operators.sequence import (
     violence_matches,
 )
 from glosa.operators.spans import explode_spans, span
-from glosa.plans.annotate import annotate, spread
+from glosa.plans.annotate import annotate
 from glosa.plans.fixtures import BASE_SPANS, PREFIX_TOKENS, derived
 from glosa.session import read_table
 
@@ -30,6 +30,12 @@ LABELS = ["PER", "LOC", "DIRECCIÓN"]
 ROUND = 6
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out the tables at hand, which are one row group each.  A table of many
+    splits is passed to the operators as it is; they add no exchange of their own."""
+    return df.repartition("doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -161,13 +167,13 @@ def q_token_rules(spark, sf_dir):
 
 def q_annotate_rulings(spark, sf_dir):
     """The full annotation plan on the rulings with base entities."""
-    out = annotate(rulings_with_base(spark, sf_dir), base_col="base")
+    out = annotate(spread(rulings_with_base(spark, sf_dir)), base_col="base")
     return out.select("doc_id", "tok_start", "tok_end", "label", "char_start", "char_end")
 
 
 def q_annotate_documents(spark, sf_dir):
     """X5 over the driver prose (no base entities)."""
-    out = annotate(documents(spark, sf_dir))
+    out = annotate(spread(documents(spark, sf_dir)))
     return out.select("doc_id", "tok_start", "tok_end", "label", "char_start", "char_end")
 
 
@@ -360,8 +366,13 @@ def q_clean_annotations(spark, sf_dir):
 def q_misaligned_report(spark, sf_dir):
     """Report rows (text prefix of 700 chars is the report format)."""
     r = audit.misaligned_report(_audited(spark, sf_dir))
-    return r.select("doc_id", "text", F.size("annotations").cast("long").alias("n_annotations"),
-                    F.col("n_runs").cast("long").alias("n_runs"))
+    each = F.transform(F.array_sort("annotations"), lambda x: F.concat_ws("|", x["start"], x["end"], x["label"], x["annotated_text"]))
+    return r.select("doc_id", "text", F.array_join(each, ";").alias("annotations"), F.col("n_runs").cast("long").alias("n_runs"))
+
+
+def q_lost_by_label(spark, sf_dir):
+    """A8 detail: annotations of misaligned documents by label."""
+    return audit.lost_by_label(_audited(spark, sf_dir))
 
 
 def q_misalignment_summary(spark, sf_dir):
@@ -433,7 +444,7 @@ def q_annotate_stream(spark, sf_dir):
     q = annotate_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", sink,
                         schema=read_table(spark, sf_dir, "documents").schema, once=True)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("batch")
 
 
 QUERIES = {
@@ -481,5 +492,6 @@ QUERIES = {
     "misaligned_report": q_misaligned_report,
     "misalignment_summary": q_misalignment_summary,
     "cleanup_summary": q_cleanup_summary,
+    "lost_by_label": q_lost_by_label,
     "concordance": q_concordance,
 }
