@@ -11,9 +11,10 @@ stands for them.  First each class is held against the greatest centre of its
 buckets, which joins groups of copies to stars; then against the other centres of
 its buckets, where these lie in different groups; last,
 pairs of members of one bucket that still lie in different groups, of which only
-those whose signatures agree on ``LEAST_EQUAL`` slots leave the task (at 0.75 the
-expectation is 96 of 128, five standard deviations above).  Large buckets are
-compared in blocks.  At similarity 0.75 a pair misses all bands with
+those leave the task whose signatures agree on ``LEAST_EQUAL`` slots (at 0.75 the
+expectation is 96 of 128, five standard deviations above) and whose sets, cut to
+16 bits a shingle, still reach the similarity.  Large buckets are compared in
+blocks, block against block.  At similarity 0.75 a pair misses all bands with
 probability (1 - 0.75^4)^32 = 5e-6.
 
 Defined results: null and empty texts have an empty set and are linked with
@@ -100,33 +101,82 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_confirm, "a long, b long"), "links")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by (band, x, y, side): pairs of different groups whose sketches agree enough."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(left, right) rows of each (band, x, y): what block x holds against block y."""
     key, held = None, []
 
-    def pairs(rows: list) -> list[tuple[int, int]]:
-        x, y = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == x]
-        right = left if x == y else [r for r in rows if r[3] == y]
-        if not left or not right:
-            return []
-        sl, sr = (np.frombuffer(b"".join(r[6] for r in side), np.uint8).reshape(-1, SLOTS) for side in (left, right))
-        cl, cr = (np.array([r[5] for r in side]) for side in (left, right))
-        out = []
-        for i, r in enumerate(left):
-            near = np.flatnonzero(((sr == sl[i]).sum(axis=1) >= LEAST_EQUAL) & (cr != cl[i]))
-            out += [(r[4], right[j][4]) for j in near if x != y or j > i]
-        return out
+    def sides() -> tuple[list, list]:
+        left = [r for r in held if r[3] == key[1]]
+        return left, left if key[1] == key[2] else [r for r in held if r[3] == key[2]]
 
     for batch in batches:
-        found: list[tuple[int, int]] = []
         for r in zip(*(c.to_pylist() for c in batch.columns)):
             if r[:3] != key:
-                found += pairs(held) if held else []
+                if held:
+                    yield sides()
                 key, held = r[:3], []
             held.append(r)
+    if held:
+        yield sides()
+
+
+def _near(left: list, right: list) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left row the right rows of other groups whose signatures agree on enough slots
+    and whose sizes allow the similarity."""
+    sketch = np.frombuffer(b"".join(r[6] for r in right), np.uint8).reshape(-1, SLOTS)
+    group = np.array([r[5] for r in right])
+    size = np.array([r[7] for r in right])
+    for i, r in enumerate(left):
+        at = np.flatnonzero((group != r[5]) & (100 * np.minimum(size, r[7]) >= PERCENT * np.maximum(size, r[7])))
+        if left is right:
+            at = at[at > i]
+        if len(at):
+            at = at[(sketch[at] == np.frombuffer(r[6], np.uint8)).sum(axis=1) >= LEAST_EQUAL]
+        yield i, at
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are near any other: a row for a member, not for a pair."""
+    schema = None
+
+    def watched() -> Iterator[pa.RecordBatch]:
+        nonlocal schema
+        for b in batches:
+            schema = b.schema
+            yield b
+
+    for left, right in _grouped(watched()):
+        keep = {}
+        for i, at in _near(left, right):
+            if len(at):
+                keep[left[i][4]] = left[i]
+                keep.update((right[j][4], right[j]) for j in at.tolist())
+        if keep:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*keep.values()), schema)], schema=schema)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different groups that may be links by their sets cut to 16 bits: a cut makes
+    unequal shingles equal now and then but never the reverse, so no link is lost."""
+    for left, right in _grouped(batches):
+        found: list[tuple[int, int]] = []
+        sets = [np.frombuffer(r[8], np.uint16) for r in right]
+        for i, at in _near(left, right):
+            if not len(at):
+                continue
+            mark = np.zeros(1 << 16, bool)
+            mark[np.frombuffer(left[i][8], np.uint16)] = True
+            near = at.tolist()
+            starts = np.cumsum([0] + [len(sets[j]) for j in near[:-1]])
+            common = np.add.reduceat(mark[np.concatenate([sets[j] for j in near])].astype(np.int64), starts)
+            total = left[i][7] + np.array([right[j][7] for j in near])
+            common = np.minimum(common, total // 2)
+            found += [(left[i][4], right[near[k]][4]) for k in np.flatnonzero(100 * common >= PERCENT * (total - common))]
         yield _links(found)
-    yield _links(pairs(held) if held else [])
+
+
+def _short_set(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(t).astype(np.uint16).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -144,8 +194,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with the id finds the row's text again)."""
     rows = signed(docs, doc_id, text)
     classes = written(rows.where("n > 0").groupBy("digest").agg(
-        F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("digest", "rep", "bands", "sketch", F.monotonically_increasing_id().alias("cid")), "classes")
+        F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+        .select("digest", "rep", "bands", "sketch", "n", F.monotonically_increasing_id().alias("cid")), "classes")
     members = classes.select("cid", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = written(members.join(buckets, "band"), "members")  # of buckets with company
@@ -176,8 +226,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     held = held.withColumn("other", other).select(
         "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "group")
-    held = held.join(classes.select("cid", "sketch"), "cid").select("band", "x", "y", "mine", "cid", "group", "sketch")
-    across = held.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_across, "a long, b long").distinct()
+    cols = ["band", "x", "y", "mine", "cid", "group", "sketch", "n"]
+    held = held.join(classes.select("cid", "sketch", "n"), "cid").select(*cols)
+    held = held.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    held = written(held.mapInArrow(_involved, held.schema), "involved")
+    short = F.arrow_udf(_short_set, "binary").asNondeterministic()
+    short = texts.join(held.select("cid").distinct(), "cid").select("cid", short("text").alias("short"))
+    held = held.join(short, "cid").select(*cols, "short").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    across = held.mapInArrow(_across, "a long, b long").distinct()
     known = tried.unionByName(first)
     across = written(across.join(known.withColumnsRenamed({"a": "ka", "b": "kb"}), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"), "across")
     links = links.unionByName(confirmed(across, texts))
