@@ -14,7 +14,7 @@ from glosa.functions.text import (
 )
 from glosa.operators import sequence as S
 from glosa.operators.context import ENTITY_BASE, EXISTING_BASE, IP_REGEX
-from glosa.operators.dataset import HASH_MOD, HASH_MUL, compounding_sizes
+from glosa.operators.dataset import HASH_MOD, HASH_MUL
 from glosa.plans.fixtures import derived_ctes
 from glosa.plans.oracle_sql import (
     class_spans,
@@ -297,22 +297,9 @@ BATCHES_FIXED = sql([_rank(1)], "SELECT doc_id, CAST(rk AS BIGINT) AS rk, CAST(f
                     ["rulings"])
 
 
-def _compounding_case(start: float, stop: float, rate: float) -> str:
-    sizes = compounding_sizes(start, stop, rate, 10_000)  # the ramp; the constant tail is closed form
-    cap = int(stop)
-    parts, lo = [], 1
-    b = 0
-    for s in sizes:
-        if s == cap:
-            break
-        parts.append(f"WHEN rk <= {lo + s - 1} THEN {b}")
-        lo += s
-        b += 1
-    parts.append(f"ELSE {b} + CAST(floor((rk - {lo}) / {cap}) AS INT)")
-    return "CASE " + " ".join(parts) + " END"
-
-
-BATCHES_COMPOUNDING = sql([_rank(1)], f"SELECT doc_id, CAST(rk AS BIGINT) AS rk, CAST({_compounding_case(6.0, 12.0, 1.5)} AS INT) AS batch FROM rk",
+# 6, 9, then 12 for good
+_COMPOUNDING = "CASE WHEN rk <= 6 THEN 0 WHEN rk <= 15 THEN 1 ELSE 2 + CAST(floor((rk - 16) / 12) AS INT) END"
+BATCHES_COMPOUNDING = sql([_rank(1)], f"SELECT doc_id, CAST(rk AS BIGINT) AS rk, CAST({_COMPOUNDING} AS INT) AS batch FROM rk",
                           ["rulings"])
 SAMPLE = sql([], f"SELECT doc_id FROM rulings ORDER BY (doc_id * {HASH_MUL} + 7) % {HASH_MOD}, doc_id LIMIT 100",
              ["rulings"])
@@ -420,6 +407,8 @@ AUDIT_CTES = [RUL, tokens_ctes("src"),
                               EXISTS (SELECT 1 FROM runs WHERE runs.doc_id = an.doc_id
                                       AND contains(runs.run_text, replace(substr(r.text, an.char_start + 1, an.char_end - an.char_start), ' ', ''))) AS flag
                        FROM an JOIN rulings r ON r.doc_id = an.doc_id)"""]
+BILUO_DECODE = sql(AUDIT_CTES, "SELECT doc_id, st AS tok_start, et + 1 AS tok_end, label FROM al WHERE st IS NOT NULL AND et IS NOT NULL",
+                   ["rulings", "ann"])
 BILUO = sql(AUDIT_CTES, "SELECT doc_id, i, tag FROM tags WHERE tag <> 'O'", ["rulings", "ann"])
 MISALIGNED_DOCS = sql(AUDIT_CTES, "SELECT doc_id FROM mis", ["rulings", "ann"])
 MISALIGNED_RUNS = sql(AUDIT_CTES, "SELECT doc_id, k, run_text FROM runs", ["rulings", "ann"])
@@ -498,6 +487,7 @@ ORACLES = {
     "epoch_report": EPOCH_REPORT,
     "epoch_summary": EPOCH_SUMMARY,
     "biluo": BILUO,
+    "biluo_decode": BILUO_DECODE,
     "misaligned_docs": MISALIGNED_DOCS,
     "misaligned_runs": MISALIGNED_RUNS,
     "misaligned_annotations": MISALIGNED_ANNOTATIONS,

@@ -421,6 +421,14 @@ def q_convert_json_lines(spark, sf_dir):
         "doc_id", F.col("start").alias("ann_start"), F.col("end").alias("ann_end"), "label")
 
 
+def q_biluo_decode(spark, sf_dir):
+    """Spans read back from the BILUO tags of all tokens."""
+    from glosa.operators.tagger import decode_biluo
+
+    tagged = audit.with_alignment(_audited(spark, sf_dir)).select("doc_id", F.posexplode("tags").alias("i", "pred_tag"))
+    return decode_biluo(tagged)
+
+
 def q_tagger_spans(spark, sf_dir):
     """Fit the token tagger on the annotated rulings (BILUO from
     ``ann``), predict spans back on the same documents (rows-only check)."""
@@ -485,6 +493,7 @@ QUERIES = {
     "epoch_report": q_epoch_report,
     "epoch_summary": q_epoch_summary,
     "biluo": q_biluo,
+    "biluo_decode": q_biluo_decode,
     "misaligned_docs": q_misaligned_docs,
     "misaligned_runs": q_misaligned_runs,
     "misaligned_annotations": q_misaligned_annotations,

@@ -14,30 +14,32 @@ TABLES = [
 ]
 
 
+#: For one machine: few partitions, small tasks, a large driver.  A cluster's own settings stand.
+LOCAL = {
+    # text work is CPU-heavy per byte: do not coalesce small shuffles into one task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    "spark.ui.enabled": "false",
+}
+
+
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "glosa") -> SparkSession:
-    """Local session for tests and the bench; on a cluster the builder's
-    master comes from spark-submit and these settings act as defaults."""
+    """A session.  Under spark-submit or with ``SPARK_MASTER`` set only what results
+    depend on is set here; otherwise a local session for tests and the bench."""
     builder = (
         SparkSession.builder.appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # text work is CPU-heavy per byte: do not coalesce small shuffles into one task
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
         # call-site capture costs several JVM round trips per Column call while
         # building the (large) rule expressions; it is a debugging aid only
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("GLOSA_DRIVER_MEMORY", "16g"))
     )
     if not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
-        builder = builder.master(f"local[{cores}]")
+        local = LOCAL | {"spark.sql.shuffle.partitions": str(shuffle_partitions),
+                         "spark.driver.memory": os.environ.get("GLOSA_DRIVER_MEMORY", "16g")}
+        builder = builder.master(f"local[{cores}]").config(map=local)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local["):
+        ensure_checkpoint_dir(spark)
     return spark
 
 

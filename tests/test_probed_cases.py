@@ -75,3 +75,17 @@ def test_equal_texts_stay_two_documents(spark, tmp_path):
     line = '{"content": "igual", "annotation": []}\n'
     (tmp_path / "a.json").write_text(line * 2)
     assert read_annotated(spark, str(tmp_path)).select("doc_id").distinct().count() == 2
+
+
+def test_batches_in_closed_form(spark):
+    from glosa.operators import dataset
+
+    assert dataset.compounding_ramp(6.0, 12.0, 1.5) == ([6, 9], 12)
+    assert dataset.compounding_ramp(4.0, 4.0, 1.0) == ([], 4) and dataset.compounding_ramp(8.0, 16.0, 0.5) == ([8, 4, 2, 1], 1)
+    df = spark.range(0, 1000).withColumnRenamed("id", "doc_id")
+    out = dataset.assign_batches(df, (6.0, 12.0, 1.5), seed=3)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert sorted(r.rk for r in rows) == list(range(1, 1001))
+    sizes = [sum(r.batch == b for r in rows) for b in range(max(r.batch for r in rows) + 1)]
+    assert sizes[:3] == [6, 9, 12] and set(sizes[2:-1]) == {12}

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from glosa.operators import dataset, history, score
-from glosa.operators.spans import select_spans
+from glosa.operators.spans import select_spans, select_spans_df
 
 
 def _w1_brute(spans):
@@ -60,10 +60,11 @@ def test_greedy_selection_both_modes(spark):
     rows = [(d, [(s, e, lab, k) for k, (s, e, lab) in enumerate(sp)]) for d, sp in enumerate(docs)]
     df = spark.createDataFrame(rows, "doc_id int, c array<struct<start:int,end:int,label:string,prio:bigint>>")
     for block in (True, False):
-        out = df.select("doc_id", select_spans(F.col("c"), rejected_block=block).alias("k")).collect()
-        got = {r.doc_id: sorted((x.start, x.end, x.label) for x in r.k) for r in out}
-        for d, sp in enumerate(docs):
-            assert got[d] == _o1_brute(sp, block), (block, sp)
+        for out in (df.select("doc_id", select_spans(F.col("c"), rejected_block=block).alias("k")),
+                    select_spans_df(df, "c", "k", rejected_block=block)):
+            got = {r.doc_id: sorted((x.start, x.end, x.label) for x in r.k) for r in out.collect()}
+            for d, sp in enumerate(docs):
+                assert got[d] == _o1_brute(sp, block), (block, sp)
     last = df.where("doc_id = 30").select(select_spans(F.col("c"), True).alias("k")).first().k
     assert [(x.start, x.end) for x in last] == [(0, 6)]
 
