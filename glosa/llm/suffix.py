@@ -28,6 +28,7 @@ an empty table gives an empty result; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cmp_to_key
@@ -43,7 +44,7 @@ from glosa.llm.shingles import _BYTE, mix64, powers
 LENGTH = 400
 GRAM = 64
 BLOCK = 1 << 20  # windows handled at a time in long texts
-GROUP = 1024
+GROUP = 4096
 _U = np.uint64
 _PLACE = _U((1 << 21) - 1)
 RUNS = "array<struct<lo: int, hi: int, a: int, key: long, e1: long, e2: long>>"
@@ -122,12 +123,12 @@ class Extent:
         h = prefix_hashes(np.frombuffer(data, np.uint8))
         h = h * powers(off + 1)[1][off]  # relative to the anchor: equal bytes, equal differences
         self.data, self.off = data, off
-        self.right = (h[off:] - h[off]).tolist()
-        self.left = (h[off] - h[off::-1]).tolist()
+        self.right = array("Q", (h[off:] - h[off]).tobytes())
+        self.left = array("Q", (h[off] - h[off::-1]).tobytes())
 
 
-def _extension(a: list[int], b: list[int]) -> int:
-    """The greatest length at which two lists of prefix hashes agree, by binary search."""
+def _extension(a: array, b: array) -> int:
+    """The greatest length at which two rows of prefix hashes agree, by binary search."""
     lo, hi = 0, min(len(a), len(b)) - 1
     while lo < hi:
         mid = (lo + hi + 1) // 2
@@ -233,7 +234,8 @@ def solver(length: int):
                 if r[0] != key:
                     out += spans(held)
                     key, held = r[0], []
-                held.append(r)
+                if not held or held[-1][1] != r[1]:  # repeated documents bring their runs again
+                    held.append(r)
             yield batch_of(out)
         yield batch_of(spans(held))
 
@@ -343,13 +345,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = source.join(by_doc, same).select(F.col("text").cast("binary").alias("data"), F.explode("runs").alias("r")).select(
         "r.*", F.expr(f"substring(data, r.lo + 1, r.hi - r.lo + {length})").alias("data")).select(
         "key", "id_row", "single", "lo", (F.col("a") - F.col("lo")).alias("off"), "data", (F.col("hi") - F.col("lo")).alias("cnt"), "hot")
-    edges = edges.dropDuplicates(["id_row"])  # repeated rows hold the same text
-    cold, on_the_way = edges.where(~F.col("hot")), None
-    if asked.where("hot").limit(1).count():
-        hot = edges.where("hot").withColumn("g1", F.lit(0)).withColumn("g2", F.lit(length - gram)).drop("hot")
-        more, on_the_way = refined(written(hot, "oversized"), length, group)
-        cold = cold.select("key", "id_row", "single", "lo", "off", "data").unionByName(more)
-    cold = cold.select("key", "id_row", "single", "lo", "off", "data").repartition("key").sortWithinPartitions("key")
+    cols = ["key", "id_row", "single", "lo", "off", "data"]
+    edges, on_the_way = written(edges, "edge-bytes"), None
+    cold = edges.where(~F.col("hot")).select(*cols)
+    if sizes.where(F.col("size") > group).limit(1).count():
+        hot = edges.where("hot").dropDuplicates(["id_row"]).withColumn("g1", F.lit(0)).withColumn("g2", F.lit(length - gram))
+        more, on_the_way = refined(hot.drop("hot"), length, group)
+        cold = cold.unionByName(more)
+    cold = cold.repartition("key").sortWithinPartitions("key", "id_row")
     partial = cold.mapInArrow(solver(length), "id_row long, lo int, hi int")
     partial = partial if on_the_way is None else partial.unionByName(on_the_way)
     partial = partial.join(asked.select(F.col("id_row").alias("x"), "id", "h"), F.col("id_row") == F.col("x")).select("id", "h", "lo", "hi")
