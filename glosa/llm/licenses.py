@@ -53,16 +53,17 @@ def words(text: Column) -> Column:
 
 
 def weighted(units: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, word, w) and (template, license, word, w, norm): TF-IDF rows."""
-    def counts(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.select(*keys, F.explode(words(F.col(keys[0]))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+    """(uid, word, w) and (template, license, word, w, norm): TF-IDF rows.  Rows carry the
+    number of their unit, not its text."""
+    def counts(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+        return rows.select(*keys, F.explode(words(F.col(text))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
 
-    unit_words, template_words = written(counts(units, "unit"), "unit-words"), counts(templates, "template", "license")
+    unit_words, template_words = written(counts(units, "unit", "uid"), "unit-words"), counts(templates, "template", "template", "license")
     n = units.count() + templates.count()
     seen = unit_words.select("word").unionByName(template_words.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = seen.select(F.col("word").alias("__w"), (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
     w = F.col("tf") * F.col("idf")
-    u = unit_words.join(idf, F.col("word") == F.col("__w")).select("unit", "word", w.alias("w"))
+    u = unit_words.join(idf, F.col("word") == F.col("__w")).select("uid", "word", w.alias("w"))
     t = template_words.join(idf, F.col("word") == F.col("__w")).select("template", "license", "word", w.alias("w"))
     norms = t.groupBy(F.col("template").alias("__t")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     t = t.join(norms, F.col("template") == F.col("__t")).select("template", "license", F.col("word").alias("t_word"), F.col("w").alias("t_w"), "t_norm")
@@ -70,16 +71,16 @@ def weighted(units: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def matched(units: DataFrame, spark: SparkSession, least: float) -> DataFrame:
-    """(unit, license, cosine) of the distinct units that match a template."""
+    """(uid, license, cosine) of the distinct units (uid, unit) that match a template."""
     templates = spark.createDataFrame([(text, name) for name, text in TEMPLATES], "template string, license string")
     u, t = weighted(units, templates)
     u = written(u, "unit-weights")
-    norms = u.groupBy(F.col("unit").alias("__u")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = u.join(broadcast_if_small(t), F.col("word") == F.col("t_word")).groupBy("unit", "template", "license", "t_norm").agg(
+    norms = u.groupBy(F.col("uid").alias("__u")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = u.join(broadcast_if_small(t), F.col("word") == F.col("t_word")).groupBy("uid", "template", "license", "t_norm").agg(
         F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 4)
-    near = dots.join(norms, F.col("unit") == F.col("__u")).select("unit", "license", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    return near.groupBy("unit").agg(best_license().alias("b")).select("unit", "b.license", (-F.col("b.less")).alias("cosine"))
+    near = dots.join(norms, F.col("uid") == F.col("__u")).select("uid", "license", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    return near.groupBy("uid").agg(best_license().alias("b")).select("uid", "b.license", (-F.col("b.less")).alias("cosine"))
 
 
 def best_license() -> Column:
@@ -109,9 +110,11 @@ def license_scan(files: DataFrame, file_id: str = "doc_id", path: str = "path",
     units = F.array_distinct(F.concat(lines, F.when(is_licence, F.array(blank(text))).otherwise(F.array().cast("array<string>"))))
     rows = files.select(F.col(file_id).alias("doc_id"), F.col(path).alias("path"), is_licence.alias("is_licence"), units.alias("units"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "license-units")  # header lines only, no texts but licence files'
-    each = rows.select("row", F.explode("units").alias("unit"))
-    found = written(matched(written(each.select("unit").distinct(), "units"), spark, least), "unit-licenses")
-    own = each.join(found.withColumnRenamed("unit", "__unit"), F.col("unit") == F.col("__unit")).groupBy("row").agg(best_license().alias("own"))
+    each = rows.select("row", F.explode("units").alias("unit")).withColumn("key", F.sha2("unit", 256))
+    units = written(each.groupBy("key").agg(F.first("unit").alias("unit")).withColumn("uid", F.monotonically_increasing_id()), "units")
+    found = matched(units, spark, least).join(units.select(F.col("uid").alias("__uid"), F.col("key").alias("__key")), F.col("uid") == F.col("__uid"))
+    found = written(found.select("__key", "license", "cosine"), "unit-licenses")
+    own = each.select("row", "key").join(found, F.col("key") == F.col("__key")).groupBy("row").agg(best_license().alias("own"))
     rows = rows.drop("units").join(own.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row"), "left").select(
         "doc_id", "path", "is_licence", directory(F.col("path")).alias("folder"), F.col("own.license").alias("license"), (-F.col("own.less")).alias("cosine"))
     rows = written(rows, "own-licenses")
