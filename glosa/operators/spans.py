@@ -13,8 +13,10 @@ so none of them shuffles.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDX_DIGITS = 9  # token index width inside encoded class strings (up to 10^9 tokens)
 SPAN_DDL = "array<struct<start:int,end:int,label:string,prio:bigint>>"
@@ -74,7 +76,7 @@ def select_spans(arr: Column, rejected_block: bool = True, start_desc: bool = Fa
         def earlier(y: Column, x: Column) -> Column:
             return _length_order(y, x, start_desc) < 0
 
-        # (the inner array is re-evaluated per candidate here; pipelines use select_spans_df)
+        # for short arrays inside lambdas; whole documents go through select_spans_df
         kept = F.filter(
             clean,
             lambda x: ~F.exists(
@@ -94,46 +96,40 @@ def select_spans(arr: Column, rejected_block: bool = True, start_desc: bool = Fa
     return F.array_sort(kept, lambda a, b: _cmp(a["start"], b["start"]))
 
 
-def _sql_len(v: str) -> str:
-    return f"({v}.`end` - {v}.start)"
+def greedy(spans: list[dict], rejected_block: bool, start_desc: bool) -> list[dict]:
+    """O1 over one document's spans: marks on a byte per token, so the work follows
+    the spans' lengths and not the square of their number."""
+    clean = {(x["start"], x["end"], x["label"], x["prio"]) for x in spans if x is not None and x["end"] > x["start"]}
+    turn = -1 if start_desc else 1
+    marked = bytearray(max((e for _, e, _, _ in clean), default=0))
+    kept = []
+    for s, e, label, prio in sorted(clean, key=lambda x: (x[0] - x[1], turn * x[0], x[3], x[2] or "")):
+        free = not (marked[s] or marked[e - 1])
+        if free:
+            kept.append({"start": s, "end": e, "label": label, "prio": prio})
+        if free or rejected_block:
+            marked[s:e] = b"\1" * (e - s)
+    return sorted(kept, key=lambda x: x["start"])
 
 
-def _sql_order(a: str, b: str, start_desc: bool) -> str:
-    lt, gt = ("1", "-1") if start_desc else ("-1", "1")
-    return (
-        f"CASE WHEN {_sql_len(a)} <> {_sql_len(b)} THEN (CASE WHEN {_sql_len(a)} > {_sql_len(b)} THEN -1 ELSE 1 END) "
-        f"WHEN {a}.start <> {b}.start THEN (CASE WHEN {a}.start < {b}.start THEN {lt} ELSE {gt} END) "
-        f"WHEN {a}.prio < {b}.prio THEN -1 WHEN {a}.prio > {b}.prio THEN 1 ELSE 0 END"
-    )
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("prio", pa.int64())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                                   T.StructField("label", T.StringType()), T.StructField("prio", T.LongType())]))
+
+
+@F.arrow_udf(_SPANS)
+def greedy_spans(spans: pa.Array, rejected_block: pa.Array, start_desc: pa.Array) -> pa.Array:
+    return pa.array([greedy(x, b, d) if x else [] for x, b, d in
+                     zip(spans.to_pylist(), rejected_block.to_pylist(), start_desc.to_pylist())], pa.list_(_SPAN))
 
 
 def select_spans_df(df: DataFrame, name: str, out: str, rejected_block: bool = True,
                     start_desc: bool = False) -> DataFrame:
-    """``select_spans`` over the array column ``name`` into column ``out``,
-    written as SQL (same semantics; cheap to build).  The cleaned candidate
-    array is materialised first so the nested lambda reads it instead of
-    rebuilding it for every candidate."""
+    """``select_spans`` over the array column ``name`` into column ``out`` for any
+    number of spans per document."""
     from glosa.functions.text import keep
 
-    df = df.withColumn("_sc", keep(F.expr(f"array_distinct(filter(`{name}`, c -> c IS NOT NULL AND c.`end` > c.start))")))
-    return df.withColumn(out, keep(select_spans_col("_sc", rejected_block, start_desc))).drop("_sc")
-
-
-def select_spans_col(name: str, rejected_block: bool = True, start_desc: bool = False) -> Column:
-    """O1 over an array column that is already clean (no NULLs, no empty
-    spans, no duplicates) -- see ``select_spans_df``."""
-    clean = f"`{name}`"
-    covers = ("(y.start <= x.start AND x.start < y.`end`) OR "
-              "(y.start <= x.`end` - 1 AND x.`end` - 1 < y.`end`)")
-    by_start = "(a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END"
-    if rejected_block:
-        earlier = f"({_sql_order('y', 'x', start_desc)}) < 0"
-        kept = f"filter({clean}, x -> NOT exists({clean}, y -> ({earlier}) AND ({covers})))"
-    else:
-        ordered = f"array_sort({clean}, (a, b) -> {_sql_order('a', 'b', start_desc)})"
-        kept = (f"aggregate({ordered}, filter({clean}, z -> false), "
-                f"(acc, x) -> CASE WHEN exists(acc, y -> {covers}) THEN acc ELSE concat(acc, array(x)) END)")
-    return F.expr(f"array_sort({kept}, {by_start})")
+    return df.withColumn(out, keep(greedy_spans(F.col(name), F.lit(rejected_block), F.lit(start_desc))))
 
 
 def with_prio_col(name: str, base: int = 0) -> Column:

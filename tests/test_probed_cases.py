@@ -89,3 +89,16 @@ def test_batches_in_closed_form(spark):
     assert sorted(r.rk for r in rows) == list(range(1, 1001))
     sizes = [sum(r.batch == b for r in rows) for b in range(max(r.batch for r in rows) + 1)]
     assert sizes[:3] == [6, 9, 12] and set(sizes[2:-1]) == {12}
+
+
+def test_many_spans_in_one_document(spark):
+    """Selection follows the spans' lengths, not the square of their number."""
+    import time
+
+    from glosa.operators.spans import select_spans_df
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.struct(
+        i.alias("start"), (i + 1 + i % 3).alias("end"), F.lit("A").alias("label"), i.cast("long").alias("prio"))).alias("c"))
+    began = time.time()
+    n = select_spans_df(df, "c", "k").select(F.size("k")).first()[0]
+    assert n > 30_000 and time.time() - began < 30
