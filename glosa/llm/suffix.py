@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cold = edges.where(~F.col("hot")).select(*cols)
     if sizes.where(F.col("size") > group).limit(1).count():
         hot = edges.where("hot").dropDuplicates(["id_row"]).withColumn("g1", F.lit(0)).withColumn("g2", F.lit(length - gram))
-        more, on_the_way = refined(hot.drop("hot"), length, group)
+        more, on_the_way = refined(written(hot.drop("hot"), "oversized"), length, group)
         cold = cold.unionByName(more)
     cold = cold.repartition("key").sortWithinPartitions("key", "id_row")
     partial = cold.mapInArrow(solver(length), "id_row long, lo int, hi int")
