@@ -30,8 +30,7 @@ NWS = r"[^ \t\n\x0B\f\r]"
 # No ASCII word character follows (what ``\b`` means after one where it is ASCII only).
 WORD_END = r"(?![A-Za-z0-9_])"
 
-# Extensions ordered so that no entry is a prefix of a later one (alternation is first-match).
-_FILE_EXT_ALT = "jpg|png|gif|bmp|tiff|svg|docx|doc|odt|txt|pdf|mp3|avi|mp4|mkv|mpeg|mpg|mov|asf|webm|3gp|3g2|m4v"
+_FILE_EXT_ALT = "|".join(sorted(vocab.FILE_EXTENSIONS, key=len, reverse=True))
 
 TOKEN_ALTERNATIVES = [
     # e-mail address

@@ -102,3 +102,23 @@ def test_many_spans_in_one_document(spark):
     began = time.time()
     n = select_spans_df(df, "c", "k").select(F.size("k")).first()[0]
     assert n > 30_000 and time.time() - began < 30
+
+
+def test_plates_of_two_tokens_only_without_compat(spark):
+    from glosa.plans.annotate import annotate
+
+    docs = spark.createDataFrame([(1, "patente AAA 410 y 410 bbb o AAA-410")], "doc_id long, text string")
+
+    def plates(compat):
+        out = annotate(docs, compat=compat, stages=("ruler",)).where("label = 'PATENTE_DOMINIO'").collect()
+        return sorted((r.tok_start, r.tok_end) for r in out)
+
+    assert plates(True) == [(7, 8)] and plates(False) == [(1, 3), (4, 6), (7, 8)]
+
+
+def test_file_extensions_are_the_listed_ones(spark):
+    from glosa.functions import vocab
+
+    texts = [f"ver nota.{e} ya" for e in vocab.FILE_EXTENSIONS]
+    for d, e in zip(annotate_texts(spark, texts, stages=("ruler",)), vocab.FILE_EXTENSIONS):
+        assert (1, 2, "NOMBRE_ARCHIVO") in d.ents, e
