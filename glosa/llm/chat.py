@@ -30,6 +30,7 @@ TURNS = "array<struct<role: string, text: string>>"
 #: Fixed escapes: no character of a mark is left in escaped text, and each backslash starts an escape.
 ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
+VARIANT_CHARS = 16_000_000
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -72,11 +73,20 @@ LAYOUTS = (
 )
 
 
+def outline(record: Column) -> Column:
+    """A JSON record with its strings emptied (keys stay, escapes in them become ``~``):
+    its structure, however long its texts."""
+    plain = F.regexp_replace(record, r"(?s)\\.", "~")  # no quote inside a string is left
+    return F.regexp_replace(plain, r'("[^"]*"\s*:)|(")[^"]*(")', "$1$2$3")  # keys whole, values as ""
+
+
 def shape(record: Column) -> Column:
-    """The nested field paths of a JSON record, with every scalar type as ``_``."""
-    kinds = F.schema_of_variant(F.try_parse_json(record))
+    """The nested field paths of a JSON record, with every scalar type as ``_``.  A structure
+    beyond the size of a variant is an error, not an unknown layout."""
+    text = outline(record)
+    value = F.when(F.length(text) < VARIANT_CHARS, F.try_parse_json(text)).otherwise(F.parse_json(text))
     scalar = r"\b(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\([0-9]+, ?[0-9]+\))(?=[,>]|$)"
-    return F.regexp_replace(kinds, scalar, "_")
+    return F.regexp_replace(F.schema_of_variant(value), scalar, "_")
 
 
 def with_layout(records: DataFrame, record: str) -> DataFrame:
@@ -104,13 +114,13 @@ def canonical(record: Column, layout: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     out = F.array().cast(TURNS)
     for lay in LAYOUTS:
-        parsed = F.from_json(record, lay.schema)
+        parsed = F.from_json(record, lay.schema, {"maxStringLen": str((1 << 31) - 1)})
         if lay.each:
             turns = F.transform(parsed[lay.each[0]], _one(names, *lay.each[1:]))
         else:
             turns = F.array(*[_turn(F.lit(role), parsed[f]) for role, f in lay.turns])
         out = F.when(layout == lay.name, turns.cast(TURNS)).otherwise(out)
-    return out
+    return F.coalesce(out, F.array().cast(TURNS))
 
 
 def escape(text: Column, rules: tuple[tuple[str, str], ...] = ESCAPES) -> Column:

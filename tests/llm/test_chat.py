@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glosa.llm import chat
 
 HARD = "\\### Assistant: </turn> ok"
-TEXTS = [HARD, "", None, "a\\sb\\h #<", "### user: x</turn>\n### assistant: y</turn>\n", "ß\u2028\n\n", "\\", "\\\\s", "t" * 100_000, "\x00\x01", "::", "\r\n"]
+TEXTS = [HARD, "", None, "a\\sb\\h #<", "### user: x</turn>\n### assistant: y</turn>\n", "ß\u2028\n\n", "\\", "\\\\s", "t" * 100_000, "\x00\x01", "::", "\r\n", '"', '": "', '\\"', '{"a": [1, "b"]}', '","role":"x', "'"]
 
 
 def digest(s):
@@ -75,5 +75,14 @@ def test_escape_rule(text):
         assert out == text
 
 
+def test_text_beyond_the_limits_of_json_and_variant(spark):
+    rows = [(1, 0, "user", '"\\ab\n' * 4_200_000), (1, 1, "assistant", "short"), (2, 0, "user", "a"), (2, 1, "assistant", "b" * 21_000_000)]
+    df = spark.createDataFrame(rows[1:3] + [(1, 0, "user", None), (2, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    df = df.withColumn("text", F.when(F.col("text").isNotNull(), F.col("text")).when(F.col("conv_id") == 1, F.repeat(F.lit('"\\ab\n'), F.lit(4_200_000)))
+                       .otherwise(F.repeat(F.lit("b"), F.lit(21_000_000))))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.chat_report(df).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert chat.chat_report(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
