@@ -41,7 +41,7 @@ SLOTS = BANDS * ROWS
 LEAST_EQUAL = 72
 PERCENT = 75
 BLOCK = 2048  # members of a bucket that one task holds against each other
-STAR = 1000  # members held against one copy of a centre
+STAR = 250  # members held against one copy of a centre
 SIGNED = "struct<n: long, digest: binary, bands: array<long>, sketch: binary>"
 
 
@@ -238,8 +238,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     across = written(across.join(known.withColumnsRenamed({"a": "ka", "b": "kb"}), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"), "across")
     links = links.unionByName(confirmed(across, texts))
     groups = written(components(links), "groups")
-    named = label(classes.select("digest", "cid", F.col("rep.id").alias("id")), groups, "cid", "group")
-    names = named.groupBy("group").agg(F.min("id").alias("component_id"))
+    named = written(label(classes.select("digest", "cid", F.col("rep.id").alias("id")), groups, "cid", "group"), "class-groups")
+    names = written(named.groupBy("group").agg(F.min("id").alias("component_id")), "group-names")  # so that the join can split a large group
     named = written(named.select("digest", "group").join(names, "group").select(F.col("digest").alias("__d"), "component_id"), "named")
     out = rows.join(named, F.col("digest") == F.col("__d"), "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
