@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosa.llm.common import blank, scratch_path, written
+from glosa.llm.common import blank, scratch_path
 
 
 @dataclass(frozen=True)
