@@ -8,7 +8,7 @@ however many paths hold it, and the findings are joined back to all paths.
 A rule is a name, a pattern, the group whose length counts and its least
 length; its version is a digest of these, so a changed rule is scanned anew and
 the others are not.  Matches are leftmost and non-overlapping per rule; those
-that are too short are dropped.
+that are too short are dropped.  A private key is one match with its body.
 
 Defined results: null content is the empty blob (no findings); repeated rows
 and exact copies share a blob and each get its findings; an empty table gives
@@ -55,8 +55,15 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 16, (b"akia",)),
     Rule("hex", "[0-9a-f]+", 0, 32, ()),
 )
+#: A private key from its BEGIN line to its END line, whatever stands between (headers, quotes, escaped line
+#: ends) but other such lines; without an END line, to the end of the base64 body: runs of 16 characters and
+#: more, and shorter ones that fill the next line.  Possessive, so linear.
+LINE_END = r"(?:\r?\n|(?:\\r)?\\n)"
+KEY_HEADERS = rf"(?:{LINE_END}[\x20\t]*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+KEY_BODY = rf"""(?:(?:[\s"',>#*]|\\[rn])++[A-Za-z0-9+/]{{16,}}+={{0,2}}+|{LINE_END}[\x20\t]*+[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:{LINE_END}|["']|\Z)))*+"""
+PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-{{5,}}END [A-Z ]*PRIVATE KEY-----|{KEY_HEADERS}{KEY_BODY})"
 ADDED_RULES = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, (b"-----begin ",)),
+    Rule("pem", PEM, 0, 1, (b"-----begin ",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, (b"eyj",)),
     Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 4, (b"://",)),
 )

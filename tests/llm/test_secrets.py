@@ -65,3 +65,24 @@ def test_redaction(spark, documents):
     assert got[0]["text"] == "[secret]\" and Token:short [secret]" and got[0]["n_chars"] == len(got[0]["text"])
     assert "hunter22" not in got[7]["text"]
     assert secrets.secret_report(documents([])).collect() == [] == secrets.redact_secrets(documents([])).collect()
+
+
+BODY = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6] * 5 + ["Qq0="])
+KEYS = [  # text, what stays
+    ("a\n-----BEGIN RSA PRIVATE KEY-----\n" + BODY + "\n-----END RSA PRIVATE KEY-----\nz", "a\n[secret]\nz"),
+    ("-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n" + BODY + "\n\nsome more prose", "[secret]\n\nsome more prose"),
+    ('{"k": "-----BEGIN PRIVATE KEY-----\\n' + BODY.replace("\n", "\\n") + '\\n-----END PRIVATE KEY-----\\n"}', '{"k": "[secret]\\n"}'),
+    ("-----BEGIN PRIVATE KEY-----\r\n" + BODY.replace("\n", "\r\n") + "\r\nsome prose", "[secret]\r\nsome prose"),
+    ("-----BEGIN PRIVATE KEY-----\n" + BODY + "\n-----BEGIN PRIVATE KEY-----\n" + BODY, "[secret]\n[secret]"),
+    ("# -----BEGIN PRIVATE KEY-----\n# " + BODY.replace("\n", "\n# ") + "\n# -----END PRIVATE KEY-----", "# [secret]"),
+    ("so -----BEGIN PRIVATE KEY----- opens a key - " + "plain words " * 20_000, "so [secret] opens a key - " + "plain words " * 20_000),
+    ("-----BEGIN PRIVATE KEY-----\n" + "A" * 100_000 + "\n" * 50_000 + "the end", "[secret]" + "\n" * 50_000 + "the end"),
+]
+
+
+def test_a_private_key_goes_with_its_body(spark, documents):
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(documents([t for t, _ in KEYS])).collect()}
+    assert got == dict(enumerate(rest for _, rest in KEYS))
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secret_report(documents([KEYS[0][0]])).collect()}
+    assert f"pem:2:{len(KEYS[0][0]) - 2}" in spans[0].split(",")
+    assert [(r.name, r.pattern) for r in secrets.BASE_RULES] == [("assign", secrets.ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
