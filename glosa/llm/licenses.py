@@ -4,7 +4,13 @@ Units are the header lines of each file (lines with a licence word, anywhere in
 text) and, for licence files, the whole text.  Units and templates become sparse
 TF-IDF rows; document frequencies count all distinct units of the corpus and all
 templates.  A unit takes the template of the greatest cosine if that is at least
-``LEAST``; a file takes its best unit.  A licence file (LICENSE, LICENCE, COPYING,
+``LEAST``.  A unit below it is cut into pieces, weighted alike: its sentences with a
+licence word, and around each licence word a window for each template, cut as the
+template lies around its own first one, so that a notice inside a long line is met
+word for word.  SPDX identifiers count as templates of their own words (cosine 1):
+``SPDX-License-Identifier: X`` gives X, known names as the templates write them, the
+endings -only, -or-later and + and exceptions (WITH) left out, and every identifier
+of an AND or OR expression.  A file takes its best unit.  A licence file (LICENSE, LICENCE, COPYING,
 UNLICENSE, NOTICE, with any ending) speaks for its directory; a file without a
 licence of its own inherits from the nearest directory above it that has one.
 
@@ -21,6 +27,8 @@ empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,41 +54,103 @@ TEMPLATES = (
 MARK = r"(?i)licen[sc]e|copyright|spdx|public domain|permission is hereby|redistribution and use"
 LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|unlicense|notice)(?:[.-].*)?$"
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+ANCHOR = r"licen[sc]e|copyright|spdx|public|permission|redistribution"  # words that begin a match of MARK
+SENTENCE_END = r"(?<=[.!?;])\s+"
+SPDX_ID = r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*\+?"
+SPDX = rf"(?i:spdx-license-identifier):[ \t(\"'`]*({SPDX_ID}(?:[ \t()]+(?:AND|OR|WITH)[ \t()]+{SPDX_ID})*)"
+SPDX_NONE = ("none", "noassertion")
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def weighted(units: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uid, word, w) and (template, license, word, w, norm): TF-IDF rows.  Rows carry the
-    number of their unit, not its text."""
-    def counts(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-        return rows.select(*keys, F.explode(words(F.col(text))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+def word_counts(rows: DataFrame, found: Column, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.explode(found).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+
 
-    unit_words, template_words = written(counts(units, "unit", "uid"), "unit-words"), counts(templates, "template", "template", "license")
+def weighted(units: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uid, word, w), (template, license, word, w, norm) and (word, idf): TF-IDF rows.  Rows carry
+    the number of their unit, not its text."""
+    unit_words = written(word_counts(units, words(F.col("unit")), "uid"), "unit-words")
+    template_words = word_counts(templates, words(F.col("template")), "template", "license")
     n = units.count() + templates.count()
     seen = unit_words.select("word").unionByName(template_words.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = seen.select(F.col("word").alias("__w"), (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = F.col("tf") * F.col("idf")
-    u = unit_words.join(idf, F.col("word") == F.col("__w")).select("uid", "word", w.alias("w"))
-    t = template_words.join(idf, F.col("word") == F.col("__w")).select("template", "license", "word", w.alias("w"))
+    idf = written(seen.select(F.col("word").alias("__w"), (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    t = with_weights(template_words, idf, "template", "license")
     norms = t.groupBy(F.col("template").alias("__t")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     t = t.join(norms, F.col("template") == F.col("__t")).select("template", "license", F.col("word").alias("t_word"), F.col("w").alias("t_w"), "t_norm")
-    return u, written(t, "template-weights")
+    return with_weights(unit_words, idf, "uid"), written(t, "template-weights"), idf
 
 
-def matched(units: DataFrame, spark: SparkSession, least: float) -> DataFrame:
-    """(uid, license, cosine) of the distinct units (uid, unit) that match a template."""
-    templates = spark.createDataFrame([(text, name) for name, text in TEMPLATES], "template string, license string")
-    u, t = weighted(units, templates)
-    u = written(u, "unit-weights")
+def with_weights(counts: DataFrame, idf: DataFrame, *keys: str) -> DataFrame:
+    return counts.join(idf, F.col("word") == F.col("__w")).select(*keys, "word", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def nearest_template(u: DataFrame, t: DataFrame, least: float) -> DataFrame:
+    """(uid, license, cosine) of the weighted units that reach ``least``."""
     norms = u.groupBy(F.col("uid").alias("__u")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = u.join(broadcast_if_small(t), F.col("word") == F.col("t_word")).groupBy("uid", "template", "license", "t_norm").agg(
         F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 4)
     near = dots.join(norms, F.col("uid") == F.col("__u")).select("uid", "license", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    return near.groupBy("uid").agg(best_license().alias("b")).select("uid", "b.license", (-F.col("b.less")).alias("cosine"))
+    return best_of(near, "uid")
+
+
+def window_shapes() -> list[tuple[int, int]]:
+    """Words before and after the first licence word, for each template."""
+    shapes = set()
+    for _, text in TEMPLATES:
+        found = re.findall(WORDS, text.lower())
+        first = next(i for i, w in enumerate(found) if re.search(ANCHOR, w))
+        shapes.add((first, len(found) - first - 1))
+    return sorted(shapes)
+
+
+def unit_pieces(units: DataFrame) -> DataFrame:
+    """(uid, piece): sentences and windows of the units, as words with a space between."""
+    at = F.transform(words(F.col("unit")), lambda w, i: F.when(F.regexp_like(w, F.lit(ANCHOR)), i + 1))
+    marked = F.filter(F.split("unit", SENTENCE_END), lambda x: F.regexp_like(x, F.lit(MARK)))
+    rows = written(units.select("uid", words(F.col("unit")).alias("words"), F.filter(at, lambda i: i.isNotNull()).alias("at"),
+                                F.transform(marked, lambda x: F.array_join(words(x), " ")).alias("sentences")), "unit-positions")
+    n = F.size("words")
+
+    def windows(before: int, after: int) -> Column:
+        inside = F.filter("at", lambda i: (i > before) & (i + after <= n))
+        return F.transform(inside, lambda i: F.array_join(F.slice("words", i - before, F.lit(before + after + 1)), " "))
+
+    every = F.concat("sentences", *[windows(*s) for s in window_shapes()])
+    return rows.select("uid", F.explode(F.array_distinct(every)).alias("piece")).where("piece <> ''")
+
+
+def declared(units: DataFrame) -> DataFrame:
+    """(uid, license, cosine) of the SPDX identifiers in the units."""
+    known = F.create_map(*[F.lit(x) for name in sorted({name for name, _ in TEMPLATES}) for x in (name.lower(), name)])
+    stated = units.select("uid", F.explode(F.regexp_extract_all("unit", F.lit(SPDX), F.lit(1))).alias("said"))
+    alone = F.regexp_replace("said", rf"[ \t()]+WITH[ \t()]+{SPDX_ID}", "")
+    ids = stated.select("uid", F.explode(F.split(alone, r"[ \t()]+(?:AND|OR)[ \t()]+")).alias("id"))
+    ids = ids.select("uid", F.regexp_replace("id", r"(?i)(?:-only|-or-later|\+)$", "").alias("id")).where(~F.lower("id").isin(*SPDX_NONE))
+    return ids.select("uid", F.coalesce(known[F.lower("id")], F.col("id")).alias("license"), F.lit(1.0).alias("cosine"))
+
+
+def matched(units: DataFrame, spark: SparkSession, least: float) -> DataFrame:
+    """(uid, license, cosine) of the distinct units (uid, unit) that match a template, as a whole
+    or by a piece, or that state an SPDX identifier."""
+    templates = spark.createDataFrame([(text, name) for name, text in TEMPLATES], "template string, license string")
+    u, t, idf = weighted(units, templates)
+    whole = written(nearest_template(written(u, "unit-weights"), t, least).unionByName(declared(units)), "whole-units")
+    rest = units.join(whole.select(F.col("uid").alias("__uid")).distinct(), F.col("uid") == F.col("__uid"), "left_anti")
+    each = written(unit_pieces(rest).withColumn("key", F.sha2("piece", 256)), "unit-pieces")
+    pieces = each.groupBy("key").agg(F.first("piece").alias("piece")).withColumn("uid", F.monotonically_increasing_id())
+    pieces = written(pieces, "pieces")
+    p = written(with_weights(word_counts(pieces, F.split("piece", " "), "uid"), idf, "uid"), "piece-weights")
+    near = nearest_template(p, t, least).join(pieces.select(F.col("uid").alias("__uid"), F.col("key").alias("__key")), F.col("uid") == F.col("__uid"))
+    inside = each.join(near.select("__key", "license", "cosine"), F.col("key") == F.col("__key")).select("uid", "license", "cosine")
+    return best_of(whole.unionByName(inside), "uid")
+
+
+def best_of(near: DataFrame, key: str) -> DataFrame:
+    return near.groupBy(key).agg(best_license().alias("b")).select(key, "b.license", (-F.col("b.less")).alias("cosine"))
 
 
 def best_license() -> Column:

@@ -71,3 +71,20 @@ def test_scan(spark):
 
 def test_empty_table(spark):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).collect() == []
+
+
+def test_spdx_headers_and_notices_inside_long_lines(spark):
+    prose = " ".join(f"word{i}" for i in range(400))
+    files = [
+        ("a/LICENSE", "Released under the MIT License.", "MIT"), ("a/x.c", "// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+        ("a/y.c", "/* spdx-license-identifier: mit */", "MIT"), ("a/z.c", "# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0"),
+        ("a/w.c", "SPDX-License-Identifier: (MIT OR Zlib) AND BSD-3-Clause", "BSD-3-Clause"), ("b/n.c", "SPDX-License-Identifier: NOASSERTION", None),
+        ("b/p.c", f"{prose}. Released under the MIT License. See the project page for more: {prose}", "MIT"),
+        ("b/q.c", f"{prose} licensed under the Apache License, Version 2.0, {prose}", "Apache-2.0"),
+        ("b/r.c", "Released under the MIT License. See the project page of these tools for the names, years and places of all authors who took part.", "MIT"),
+        ("b/s.c", f"{prose} public license of no kind {prose}", None), ("b/t.c", prose, None), ("a/u.c", prose, "MIT"),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    assert {i: r["license"] for i, r in got.items()} == {i: want for i, (_, _, want) in enumerate(files)}
+    assert all(got[i]["origin"] == "header" and got[i]["cosine"] == 1.0 for i in (1, 2, 3, 4, 6, 7, 8))
