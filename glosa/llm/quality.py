@@ -90,20 +90,24 @@ def host_verdicts(tested: DataFrame, host: str = "source", failed: str = "base_f
                   max_rate: float = MAX_RATE) -> DataFrame:
     """(host, n, fails, rate, rejected): one row per host.
 
-    Prior: mean m = all failures / all documents; the variance of the hosts' raw
-    rates, less what binomial noise explains, gives the strength a + b (between 1
-    and 1e6; hosts that do not differ get the strongest prior)."""
+    Prior: the moments of a beta-binomial, both weighted by the hosts' sizes.  Mean m = all
+    failures / all documents; what the squared distances of the hosts' rates from m, each
+    times n, exceed binomial noise by gives the correlation rho within a host, and 1 / rho - 1
+    the strength a + b (between 1 and 1e6; hosts that do not differ get the strongest prior,
+    and where no two documents can tell, one host or one document each, the weakest)."""
     hosts = tested.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("fails"))
     hosts = written(hosts, "hosts")
-    raw = F.col("fails") / F.col("n")
-    total = hosts.agg((F.sum("fails") / F.sum("n")).alias("m"), F.var_pop(raw).alias("v"),
-                      F.avg(1 / F.col("n")).alias("noise"))
-    row = total.first()  # three numbers
-    m, strength = row["m"] or 0.0, 1.0
-    if row["m"] is not None:
-        spread = max(row["v"] - m * (1 - m) * row["noise"], 1e-12)
-        strength = min(max(m * (1 - m) / spread - 1, 1.0), 1e6)
+    n, fails = F.col("n").cast("double"), F.col("fails").cast("double")
+    row = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(fails).alias("fails"),
+                    F.sum(n * n).alias("n2"), F.sum(fails * fails / n).alias("f2")).first()  # five numbers
+    m, strength = 0.0, 1.0
+    if row["k"]:
+        m = row["fails"] / row["n"]
+        pairs = row["n"] - row["n2"] / row["n"] - (row["k"] - 1)
+        if 0 < m < 1 and pairs > 0.1:  # at least 1/3 when it is not 0
+            rho = ((row["f2"] - m * row["fails"]) / (m * (1 - m)) - (row["k"] - 1)) / pairs
+            strength = min(max(1 / max(rho, 1e-12) - 1, 1.0), 1e6)
     rate = (F.col("fails") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
     return hosts.select("host", "n", "fails", rate.alias("rate"), (rate > max_rate).alias("rejected"))
 

@@ -53,3 +53,18 @@ def test_host_verdicts(spark, documents):
 def test_empty_table(spark, documents):
     assert quality.quality_report(documents([])).collect() == []
     assert quality.quality_filter(documents([])).collect() == []
+
+
+def test_one_hot_host_among_many_small_ones(spark):
+    def verdicts(n, hot):  # the first n * hot of n rows are one host's, nine in ten failing; the others' one in ten
+        edge = int(n * hot)
+        tested = spark.range(n).selectExpr(f"if(id < {edge}, 'hot', concat('h', id)) source",
+                                           f"if(id < {edge}, id % 10 < 9, id % 10 = 0) base_failed")
+        rows = quality.host_verdicts(tested).groupBy("host", "n", "fails", "rejected").count().collect()
+        return {(r["host"] if r["host"] == "hot" else "small", r["fails"] == r["n"], r["rejected"]) for r in rows}
+
+    want = {("hot", False, True), ("small", True, True), ("small", False, False)}
+    for hot in (1 / 3, 0.8):  # 0.8: over half of all documents fail
+        assert verdicts(900, hot) == verdicts(90_000, hot) == want
+    one_each = spark.range(100).selectExpr("id source", "id < 80 base_failed")
+    assert {(r["fails"], r["rejected"]) for r in quality.host_verdicts(one_each).collect()} == {(1, True), (0, False)}
