@@ -203,6 +203,28 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
        (size * (epochs + (budget > 0 AND so_far + size / 2 <= budget)::INT))::BIGINT AS taken
 FROM r"""
 
+# --- 11: every phrase counted by its text ---------------------------------------------------------
+
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT doc_id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT doc_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+s AS (SELECT doc_id, lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(ws)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a, min(doc_id) AS first_doc FROM g GROUP BY ALL HAVING count(*) >= 100),
+i AS (SELECT c.lang, c.phrase FROM f c JOIN f b ON b.lang = c.lang AND b.k > c.k AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ')
+      WHERE c.k > 1 AND 100 * b.a >= 100 * c.a),
+c AS (SELECT * FROM f ANTI JOIN i USING (lang, phrase) WHERE k > 1),
+u AS (SELECT c.*, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM c),
+x AS (SELECT u.lang, u.phrase, u.a, u.first_doc, cut, l.a AS l, r.a AS r, n.n,
+             (1000::HUGEINT * u.a * n.n // (l.a::HUGEINT * r.a))::BIGINT AS score
+      FROM u JOIN n ON n.lang = u.lang JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(ws[:cut], ' ')
+      JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, first_doc
+FROM b QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": _OP1,
     "op2_secret_scans": _op2(),
@@ -213,4 +235,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash_dedup": _OP7,
     "op9_quality_rules": _OP9,
     "op10_mixing": _OP10,
+    "op11_phrase_mining": _OP11,
 }

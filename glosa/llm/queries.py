@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glosa.llm import chat, dedup, licenses, mixing, pieces, quality, secrets, suffix, topk, urls
+from glosa.llm import chat, dedup, licenses, mixing, phrases, pieces, quality, secrets, suffix, topk, urls
 from glosa.llm import oracles
 from glosa.session import read_table
 
@@ -58,6 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, size=F.col("size"), weight=mixing.label_weight(F.col("__quality")))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scans": op2_secret_scans,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_phrase_mining": op11_phrase_mining,
     "pipeline": corpus_pipeline.run,
 }
 
