@@ -225,6 +225,58 @@ b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, first_doc
 FROM b QUALIFY rank <= 2000"""
 
+# --- 12: the article element's blocks ---------------------------------------------------------
+
+_OP12 = r"""
+WITH a AS (SELECT row_number() OVER () AS rid, page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT rid, unnest(string_split_regex(t, '</?(p|h1)>')) AS block, unnest(range(len(string_split_regex(t, '</?(p|h1)>')))) AS pos FROM a),
+s AS (SELECT rid, pos, regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS block FROM b),
+e AS (SELECT rid, pos, regexp_replace(replace(replace(replace(block, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS block FROM s),
+w AS (SELECT rid, pos, trim(regexp_replace(block, '\s+', ' ', 'g')) AS block FROM e),
+t AS (SELECT rid, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS text FROM w WHERE block <> '' GROUP BY rid)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM a LEFT JOIN t USING (rid)"""
+
+# --- 13: shortest edits row by row, a step of the recursion for all conversations ----------------
+
+_OP13 = r"""
+WITH RECURSIVE
+tab AS (SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS tab
+        FROM (SELECT unnest(range(256)) AS i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)),
+                                  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 20 AS kind FROM k, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE kind <> 0),
+c AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (SELECT cid, turn, role, text, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i FROM d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS again,
+             NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY cid ORDER BY i) AS r0 FROM o),
+n AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+             count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM f GROUP BY cid),
+e AS (SELECT cid, i, r, blank OR again AS go, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM f),
+-- cheapest (cost, audit) with nothing written, after s, after u, after a; insertions closed at once
+p AS (SELECT cid, 0::BIGINT AS i, {'c': 0, 'a': ''} AS e, {'c': 1000000, 'a': ''} AS s, {'c': 5, 'a': 'I'} AS u, {'c': 10, 'a': 'II'} AS a FROM c
+  UNION ALL
+  SELECT cid, i, e, s, u, list_min([a, {'c': u.c + 5, 'a': u.a || 'I'}]) FROM (
+    SELECT cid, i, e, s, a, list_min([u, {'c': e.c + 5, 'a': e.a || 'I'}, {'c': s.c + 5, 'a': s.a || 'I'}, {'c': a.c + 5, 'a': a.a || 'I'}]) AS u FROM (
+      SELECT p.cid, x.i, {'c': p.e.c + 2, 'a': p.e.a || 'D'} AS e,
+        list_min([{'c': p.s.c + 2, 'a': p.s.a || 'D'}, {'c': CASE WHEN go OR r <> 's' THEN 1000000 ELSE p.e.c + extra END, 'a': p.e.a || 'K'}]) AS s,
+        list_min([{'c': p.u.c + 2, 'a': p.u.a || 'D'}] || flatten(list_transform([p.e, p.s, p.a], lambda t: [
+           {'c': CASE WHEN go OR r <> 'u' THEN 1000000 ELSE t.c + extra END, 'a': t.a || 'K'}, {'c': CASE WHEN go THEN 1000000 ELSE t.c + extra + 1 END, 'a': t.a || 'R'}]))) AS u,
+        list_min([{'c': p.a.c + 2, 'a': p.a.a || 'D'}, {'c': CASE WHEN go OR r <> 'a' THEN 1000000 ELSE p.u.c + extra END, 'a': p.u.a || 'K'},
+                  {'c': CASE WHEN go THEN 1000000 ELSE p.u.c + extra + 1 END, 'a': p.u.a || 'R'}]) AS a
+      FROM p JOIN e x ON x.cid = p.cid AND x.i = p.i + 1))),
+b AS (SELECT p.cid, list_min([p.e, p.a]) AS best FROM p JOIN n ON n.cid = p.cid AND n.rows = p.i),
+l AS (SELECT cid, best.a AS audit, unnest(string_split(best.a, '')) AS edit, unnest(range(1, len(best.a) + 1)) AS pos FROM b),
+q AS (SELECT cid, edit, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS place FROM l WINDOW w AS (PARTITION BY cid ORDER BY pos)),
+w AS (SELECT q.cid, place, edit, CASE WHEN edit = 'I' THEN '' ELSE o.text END AS text, CASE WHEN edit = 'K' THEN o.role END AS role FROM q LEFT JOIN o ON o.cid = q.cid AND o.i = q.i WHERE edit <> 'D'),
+z AS (SELECT w.*, max((place = 1 AND edit = 'K' AND substr(role, 1, 1) = 's')::INT) OVER (PARTITION BY cid) AS lead FROM w),
+t AS (SELECT cid, string_agg(coalesce(role, CASE WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY place) AS told FROM z GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM c LEFT JOIN n USING (cid) LEFT JOIN b USING (cid) LEFT JOIN t USING (cid)"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": _OP1,
     "op2_secret_scans": _op2(),
@@ -236,4 +288,6 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": _OP9,
     "op10_mixing": _OP10,
     "op11_phrase_mining": _OP11,
+    "op12_html_extraction": _OP12,
+    "op13_conversation_repair": _OP13,
 }

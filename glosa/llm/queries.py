@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glosa.llm import chat, dedup, licenses, mixing, phrases, pieces, quality, secrets, suffix, topk, urls
+from glosa.llm import chat, dedup, licenses, mixing, phrases, pieces, quality, repair, secrets, suffix, topk, urls, wrappers
 from glosa.llm import oracles
 from glosa.session import read_table
 
@@ -62,6 +62,14 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(read_table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scans": op2_secret_scans,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_phrase_mining": op11_phrase_mining,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
