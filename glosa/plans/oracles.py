@@ -303,7 +303,7 @@ BATCHES_COMPOUNDING = sql([_rank(1)], f"SELECT doc_id, CAST(rk AS BIGINT) AS rk,
                           ["rulings"])
 SAMPLE = sql([], f"SELECT doc_id FROM rulings ORDER BY (doc_id * {HASH_MUL} + 7) % {HASH_MOD}, doc_id LIMIT 100",
              ["rulings"])
-TRAIN_VALIDATION = sql([], "SELECT label, count(*) AS n FROM gold WHERE doc_id % 10 <= 7 GROUP BY label", ["gold"])
+TRAIN_VALIDATION = sql([], "SELECT label, count(*) AS n FROM gold GROUP BY label", ["gold"])
 
 # --------------------------------------------------------------------------
 # scoring

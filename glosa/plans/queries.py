@@ -237,10 +237,10 @@ def q_sample(spark, sf_dir):
 
 
 def q_train_validation(spark, sf_dir):
-    """training = training UNION ALL validation (split of gold by doc)."""
+    """training = training UNION ALL validation (all of gold, split by doc)."""
     g = derived(spark, sf_dir, "gold")
     train = g.where(F.col("doc_id") % 10 < 7)
-    val = g.where(F.col("doc_id") % 10 == 7)
+    val = g.where(F.col("doc_id") % 10 >= 7)
     return dataset.merge_train_validation(train, val).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -434,11 +434,8 @@ def q_tagger_spans(spark, sf_dir):
     ``ann``), predict spans back on the same documents (rows-only check)."""
     from glosa.operators.tagger import fit_tagger, predict_spans, token_rows
 
-    rows = token_rows(_audited(spark, sf_dir)).persist()
-    model = fit_tagger(rows, max_iter=5, num_features=1 << 16)
-    pred = predict_spans(model, rows.drop("tag", "ent"))
-    rows.unpersist()
-    return pred
+    rows = token_rows(_audited(spark, sf_dir)).checkpoint()  # read by every iteration and by the lazy result
+    return predict_spans(fit_tagger(rows), rows.drop("tag", "ent"))
 
 
 def q_annotate_stream(spark, sf_dir):
