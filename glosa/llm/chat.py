@@ -1,8 +1,9 @@
 """Chat formatting (operator 5): schema fingerprints choose the mapping to canonical turns.
 
-A record is JSON of any layout.  Its nested field paths, types left out, are
+A record is JSON of any layout.  Which of the registry's nested field paths it holds is
 hashed to a fingerprint; a registry of declarative mappings, keyed by
-fingerprint, says where the turns are.  Canonical turns are (role, text) pairs.
+fingerprint, says where the turns are.  Fields that no mapping names (ids, names, scores)
+don't count.  Canonical turns are (role, text) pairs.
 The template writes a turn as ``### role: text</turn>`` and a line end; inside
 roles and texts the characters of the marks are escaped, so the output can be
 read back without doubt.  The loss mask is a list of run lengths over the
@@ -11,8 +12,9 @@ output, true for exactly the assistant texts.
 Only DataFrame functions: rows are converted where they are.
 
 Defined results: null text is empty text, null role the empty role; records
-whose fingerprint is not registered (and broken JSON) give no turns and are
-reported as layout ``unknown``; turns keep their order, ties by role and text;
+whose fingerprint is not registered (no paths, a mix of layouts, an object where a text
+belongs) and broken JSON of any length give no turns and are reported as layout ``unknown``; JSON null is
+empty text; turns keep their order, ties by role and text;
 repeated rows are kept; an empty table gives an empty result.
 """
 
@@ -30,7 +32,7 @@ TURNS = "array<struct<role: string, text: string>>"
 #: Fixed escapes: no character of a mark is left in escaped text, and each backslash starts an escape.
 ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
-VARIANT_CHARS = 16_000_000
+JSON = {"maxStringLen": str((1 << 31) - 1)}
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -41,24 +43,22 @@ class Layout:
 
     name: str
     schema: str
+    paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None
-    shape: str = ""
 
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256(self.shape.encode()).hexdigest()
+        return hashlib.sha256(",".join(sorted(self.paths)).encode()).hexdigest()
 
 
 def _flat(name: str, *turns: tuple[str, str]) -> Layout:
     fields = sorted(f for _, f in turns)
-    return Layout(name, ", ".join(f"{f} string" for f in fields), turns, None, "OBJECT<" + ", ".join(f"{f}: _" for f in fields) + ">")
+    return Layout(name, ", ".join(f"{f} string" for f in fields), tuple(fields), turns)
 
 
 def _listed(name: str, field: str, role: str, text: str) -> Layout:
-    a, b = sorted((role, text))
-    return Layout(name, f"{field} array<struct<{role}: string, {text}: string>>", (), (field, role, text),
-                  f"OBJECT<{field}: ARRAY<OBJECT<{a}: _, {b}: _>>>")
+    return Layout(name, f"{field} array<struct<{role}: string, {text}: string>>", (f"{field}[].{role}", f"{field}[].{text}"), (), (field, role, text))
 
 
 LAYOUTS = (
@@ -74,25 +74,36 @@ LAYOUTS = (
 
 
 def outline(record: Column) -> Column:
-    """A JSON record with its strings emptied (keys stay, escapes in them become ``~``):
+    """A JSON record with its strings and nulls emptied (keys stay, escapes in them become ``~``):
     its structure, however long its texts."""
     plain = F.regexp_replace(record, r"(?s)\\.", "~")  # no quote inside a string is left
-    return F.regexp_replace(plain, r'("[^"]*"\s*:)|(")[^"]*(")', "$1$2$3")  # keys whole, values as ""
+    empty = F.regexp_replace(plain, r'("[^"]*"\s*:)|(")[^"]*(")', "$1$2$3")  # keys whole, values as ""
+    return F.regexp_replace(empty, r"(?<=[:,\[\s])null(?=[\s,\]}])", '""')
 
 
-def shape(record: Column) -> Column:
-    """The nested field paths of a JSON record, with every scalar type as ``_``.  A structure
-    beyond the size of a variant is an error, not an unknown layout."""
+def known_paths(record: Column) -> Column:
+    """The registry's field paths that a record holds, sorted; null for what isn't JSON.  A list's path counts
+    if any element has it; a text's place that holds an object or a list is marked."""
     text = outline(record)
-    value = F.when(F.length(text) < VARIANT_CHARS, F.try_parse_json(text)).otherwise(F.parse_json(text))
-    scalar = r"\b(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\([0-9]+, ?[0-9]+\))(?=[,>]|$)"
-    return F.regexp_replace(F.schema_of_variant(value), scalar, "_")
+    flat = sorted({f for lay in LAYOUTS for _, f in lay.turns})
+    lists = sorted(lay.each for lay in LAYOUTS if lay.each)
+    schema = ", ".join([f"{f} string" for f in flat] + [f"{f} array<struct<{r}: string, {t}: string>>" for f, r, t in lists])
+    value = F.from_json(text, schema, JSON)
+
+    def there(name: str) -> Column:
+        return F.when(value[name].rlike(r"^\s*[{\[]"), name + "{}").when(value[name].isNotNull(), name)
+
+    def listed(field: str, part: str) -> Column:
+        return F.when(F.exists(value[field], lambda e: e[part].isNotNull()), f"{field}[].{part}")
+
+    paths = F.array(*[there(f) for f in flat], *[listed(f, part) for f, r, t in lists for part in (r, t)])
+    return F.when(F.try_parse_json(text).isNotNull(), F.array_join(F.array_sort(F.array_compact(paths)), ","))
 
 
 def with_layout(records: DataFrame, record: str) -> DataFrame:
     """``records`` plus ``layout`` (a registered name or ``unknown``)."""
     named = F.create_map(*[F.lit(x) for lay in LAYOUTS for x in (lay.fingerprint, lay.name)])
-    fingerprint = F.sha2(shape(F.col(record)).cast("binary"), 256)
+    fingerprint = F.sha2(known_paths(F.col(record)).cast("binary"), 256)
     return records.withColumn("layout", F.coalesce(named[F.coalesce(fingerprint, F.lit(""))], F.lit("unknown")))
 
 
@@ -114,7 +125,7 @@ def canonical(record: Column, layout: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     out = F.array().cast(TURNS)
     for lay in LAYOUTS:
-        parsed = F.from_json(record, lay.schema, {"maxStringLen": str((1 << 31) - 1)})
+        parsed = F.from_json(record, lay.schema, JSON)
         if lay.each:
             turns = F.transform(parsed[lay.each[0]], _one(names, *lay.each[1:]))
         else:
@@ -164,11 +175,14 @@ def read_back(text: Column) -> Column:
 
 def read_loss(text: Column, runs: Column) -> Column:
     """The unescaped text under the loss mask.  Every third run is a turn's text; its place
-    in the output is that of its turn, so no offsets are summed."""
+    in the output is that of its turn, so no offsets are summed.  Pieces and runs are paired
+    element by element: linear in the turns."""
     pieces = F.split(text, END)
-    each = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: F.when(
-        runs[i * 3 + 1]["loss"], unescape(F.substr(pieces[i], runs[i * 3]["length"] + F.lit(1), runs[i * 3 + 1]["length"]))).otherwise(""))
-    return F.when(F.size(pieces) > 1, F.array_join(each, "")).otherwise("")
+    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    places = F.arrays_zip(F.filter(runs, lambda r, i: i % 3 == 0).alias("o"), F.filter(runs, lambda r, i: i % 3 == 1).alias("t"))
+    said = F.zip_with(pieces, places, lambda p, z: F.when(
+        z["t"]["loss"], unescape(F.substr(p, z["o"]["length"] + F.lit(1), z["t"]["length"]))).otherwise(""))
+    return F.array_join(said, "")
 
 
 def format_records(records: DataFrame, record: str = "record") -> DataFrame:

@@ -86,3 +86,41 @@ def test_text_beyond_the_limits_of_json_and_variant(spark):
 
 def test_empty_table(spark):
     assert chat.chat_report(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_fields_that_no_mapping_names(spark):
+    raw = [json.dumps(r) for r in (
+        {"id": 7, "prompt": "a", "response": "b", "meta": {"prompt": "x", "tags": [1, {"role": "y"}]}}, {"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "id": "q"},
+        {"prompt": None, "response": "b"}, {"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "b", "tool": None}]})]
+    odd = ['{"prompt": {"a": 1}, "response": "b"}', '{"prompt": "a", "response": "b", "messages": [{"role": "user", "content": "a"}]}', '{"null": null}', '{"prompt": "a"']
+    df = spark.createDataFrame(list(enumerate(raw + odd)), "i long, record string")
+    out = chat.format_records(df).orderBy("i").collect()
+    for r, first in zip(out, ("a", "a", "", "")):
+        assert [tuple(t) for t in r["turns"]] == [("user", first), ("assistant", "b")], r
+    assert [r["layout"] for r in out[len(raw):]] == ["unknown"] * len(odd)
+
+
+def test_many_turns(spark):
+    """One conversation of 120,000 turns: linear in the turns."""
+    import time
+
+    n = 120_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                               F.concat(F.lit("t"), "id").alias("text"))
+    begun = time.time()
+    row = chat.chat_report(df).first()
+    assert time.time() - begun < 120
+    loss = "".join(f"t{i}" for i in range(1, n, 2))
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (n, len(loss), digest(loss))
+
+
+def test_long_outlines(spark):
+    """Records whose structure alone is over 16 MB: a whole one is mapped, a broken one is unknown."""
+    n = 700_000
+    turn = '{"role":"user","content":"a"}'
+    whole = F.concat(F.lit('{"messages":['), F.repeat(F.lit(turn + ","), F.lit(n)), F.lit(turn + "]}"))
+    broken = F.concat(F.lit('{"messages":['), F.repeat(F.lit(turn + ","), F.lit(n)))
+    df = spark.range(2).select("id", F.when(F.col("id") == 0, whole).otherwise(broken).alias("record"))
+    got = {r["id"]: (r["layout"], r["n"], r["size"]) for r in chat.with_layout(df, "record").select(
+        "id", "layout", F.size(chat.canonical(F.col("record"), F.col("layout"))).alias("n"), F.length(chat.outline(F.col("record"))).alias("size")).collect()}
+    assert got[0][:2] == ("messages", n + 1) and got[0][2] > 16_000_000 and got[1][:2] == ("unknown", 0)
