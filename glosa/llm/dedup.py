@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with the id finds the row's text again)."""
     rows = signed(docs, doc_id, text)
     classes = written(rows.where("n > 0").groupBy("digest").agg(
-        F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-        .select("digest", "rep", "bands", "sketch", "n", F.monotonically_increasing_id().alias("cid")), "classes")
+        F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+        .select("digest", "rep", "least", "bands", "sketch", "n", F.monotonically_increasing_id().alias("cid")), "classes")
     members = classes.select("cid", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = written(members.join(buckets, "band"), "members")  # of buckets with company
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     across = written(across.join(known.withColumnsRenamed({"a": "ka", "b": "kb"}), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"), "across")
     links = links.unionByName(confirmed(across, texts))
     groups = written(components(links), "groups")
-    named = written(label(classes.select("digest", "cid", F.col("rep.id").alias("id")), groups, "cid", "group"), "class-groups")
+    named = written(label(classes.select("digest", "cid", F.col("least").alias("id")), groups, "cid", "group"), "class-groups")
     names = written(named.groupBy("group").agg(F.min("id").alias("component_id")), "group-names")  # so that the join can split a large group
     named = written(named.select("digest", "group").join(names, "group").select(F.col("digest").alias("__d"), "component_id"), "named")
     out = rows.join(named, F.col("digest") == F.col("__d"), "left")

@@ -94,3 +94,16 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in grouped(df).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
     assert grouped(df.where("a < 0")).collect() == []
+
+
+def test_null_ids(spark):
+    """A null id names a component only where no row of it has one."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "x")
+    lone = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (5, text), (9, near), (None, near), (None, lone), (None, lone), (3, ""), (None, None), (7, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, dedup.dedup_report(docs).collect()), key=repr)
+    want = sorted([(None, 56, 5, False), (5, 56, 5, True), (9, 56, 5, False), (None, 56, 5, False), (None, 36, None, True), (None, 36, None, True),
+                   (3, 0, 3, True), (None, 0, None, True), (7, 1, 7, True)], key=repr)
+    assert got == want
