@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -62,21 +63,45 @@ LINE_END = r"(?:\r?\n|(?:\\r)?\\n)"
 KEY_HEADERS = rf"(?:{LINE_END}[\x20\t]*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
 KEY_BODY = rf"""(?:(?:[\s"',>#*]|\\[rn])++[A-Za-z0-9+/]{{16,}}+={{0,2}}+|{LINE_END}[\x20\t]*+[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:{LINE_END}|["']|\Z)))*+"""
 PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-{{5,}}END [A-Z ]*PRIVATE KEY-----|{KEY_HEADERS}{KEY_BODY})"
+JWT = Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, (b"eyj",))
 ADDED_RULES = (
     Rule("pem", PEM, 0, 1, (b"-----begin ",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, (b"eyj",)),
+    JWT,
     Rule("url", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 4, (b"://",)),
 )
 RULES = BASE_RULES + ADDED_RULES
 FINDINGS = "array<struct<kind: string, start: int, end: int>>"
 
 
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+
+
+def jwt_places(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the jwt rule, linear: the pattern itself reads on to a run's end from each ``eyJ`` in it.  Here each run of
+    its characters is read once and cut at its dots; a match goes from the first ``eyJ`` of a part to the end of the second part after it."""
+    for run in _DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, i = run[0].split("."), run.start(), 0
+        while i + 2 < len(parts):
+            first = parts[i].find("eyJ")
+            if 0 <= first < len(parts[i]) - 3 and parts[i + 1].startswith("eyJ") and len(parts[i + 1]) > 3 and parts[i + 2]:
+                end = at + sum(map(len, parts[i: i + 3])) + 2
+                yield at + first, end
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+
+
 def scan(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str, int, int]]:
     low = text.encode().lower()
     out = []
     for rule, pattern in rules:
         if rule.hints and not any(h in low for h in rule.hints):
             continue
+        if rule.pattern == JWT.pattern:
+            out += [(rule.name, s, e) for s, e in jwt_places(text) if e - s >= rule.least]
+            continue
         for m in pattern.finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
                 out.append((rule.name, m.start(), m.end()))
@@ -129,9 +154,9 @@ def blob_findings(docs: DataFrame, content: str = "text", rules: tuple[Rule, ...
     # a ledger row counts for the rules it was scanned with that are still current
     kinds = F.transform(F.array_intersect("rules", wanted), lambda k: F.split_part(k, F.lit("@"), F.lit(1)))
     current = F.filter("findings", lambda f: F.array_contains(F.col("kinds"), f["kind"]))
+    # a pair may be in the ledger twice (two runs at once, an append repeated): each place counts once
     return (read_ledger(spark, place).where(F.size("findings") > 0).withColumn("kinds", kinds)
-            .select("blob", current.alias("findings")).where(F.size("findings") > 0)
-            .groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")))
+            .select("blob", F.explode(current).alias("finding")).groupBy("blob").agg(F.collect_set("finding").alias("findings")))
 
 
 def scan_paths(docs: DataFrame, path: str = "doc_id", content: str = "text", rules: tuple[Rule, ...] = RULES,

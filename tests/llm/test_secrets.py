@@ -86,3 +86,31 @@ def test_a_private_key_goes_with_its_body(spark, documents):
     spans = {r["doc_id"]: r["spans"] for r in secrets.secret_report(documents([KEYS[0][0]])).collect()}
     assert f"pem:2:{len(KEYS[0][0]) - 2}" in spans[0].split(",")
     assert [(r.name, r.pattern) for r in secrets.BASE_RULES] == [("assign", secrets.ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+
+
+def test_jwt_as_its_pattern_says():
+    import random
+
+    rng = random.Random(6)
+    pattern = re.compile(secrets.JWT.pattern)
+    for _ in range(4000):
+        text = "".join(rng.choice(["eyJ", "eyJ", "a", ".", ".", "-", "_", " ", "é", "J"]) for _ in range(rng.randint(0, 30)))
+        assert list(secrets.jwt_places(text)) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_jwt_is_linear():
+    import time
+
+    begun = time.time()
+    for text in ("eyJ" * 3_400_000, "eyJa." * 2_000_000, "eyJ" * 1_700_000 + "." + "eyJ" * 1_700_000):
+        secrets.scan(text, [(r, re.compile(r.pattern)) for r in (secrets.JWT,)])
+    assert time.time() - begun < 10
+
+
+def test_a_pair_twice_in_the_ledger(spark, documents, tmp_path):
+    place = str(tmp_path / "ledger")
+    docs = documents(TEXTS)
+    once = sorted(map(tuple, secrets.secret_report(docs, ledger_path=place).collect()))
+    spark.read.parquet(place).write.mode("append").parquet(place + "-copy")
+    spark.read.parquet(place + "-copy").write.mode("append").parquet(place)  # as a second run at the same time would
+    assert sorted(map(tuple, secrets.secret_report(docs, ledger_path=place).collect())) == once
