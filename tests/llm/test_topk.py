@@ -11,18 +11,14 @@ SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k):
-    vec = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        q = [math.floor(1024 * x) for x in v]
-        vec[i] = min(vec.get(i, q), q)
-    out = set()
-    for i in vec:
+    """Each row is a candidate, and a query if its id is; rows may share ids."""
+    vec = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for at, (i, q) in enumerate(vec):
         if i % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(vec[i], vec[j])), j) for j in vec if j != i)[:k]
-            out |= {(i, r + 1, j, -x) for r, (x, j) in enumerate(s)}
-    return out
+            s = sorted((-sum(a * b for a, b in zip(q, p)), j) for to, (j, p) in enumerate(vec) if to != at)[:k]
+            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    return sorted(out)
 
 
 def rows():
@@ -37,7 +33,7 @@ def test_against_all_pairs(spark):
     data = rows()
     df = spark.createDataFrame([(i, v, 1) for i, v in data], SCHEMA).repartition(5)
     for block in (4096, 3):  # several blocks of queries give the same
-        got = {tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 100 == 0, query_block=block).collect()}
+        got = sorted(tuple(r) for r in topk.exact_topk(df, F.col("vec_id") % 100 == 0, query_block=block).collect())
         assert got == brute(data, 10)
 
 
