@@ -80,7 +80,8 @@ _SECRET_KINDS = [  # kind, pattern, group, least length
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # a key with its END line, or the BEGIN line alone (a body without an END line is tested in tests/llm/test_secrets.py)
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----([^-]*(-{1,4}[^-]+)*-{5,}END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 4),
 ]
@@ -131,11 +132,11 @@ FROM r"""
 # --- 6: all pairs of the stated query set -----------------------------------------------------
 
 _OP6 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
-      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 # --- 7: all pairs that share a shingle, then reachability -------------------------------------
@@ -173,12 +174,16 @@ b AS (SELECT d.rid, doc_id, source, coalesce(n_words, 0) AS n_words, coalesce(wo
 
 _OP9 = f"""
 WITH {_OP9_TESTED},
-h AS (SELECT source AS host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source),
-p AS (SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v, avg(1.0::DOUBLE / n) AS noise FROM h),
-q AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * noise, 1e-12) - 1, 1.0), 1e6) AS s FROM p),
-j AS (SELECT host, (f + m * s) / (n + s) > 0.5 AS bad FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
-FROM b JOIN j ON j.host IS NOT DISTINCT FROM b.source"""
+t AS (SELECT rid, source, unnest(['base', 'symbols', 'dup_lines', 'short_words']) AS rule,
+             unnest([base_failed, 10 * n_symbols > word_chars, 10 * n_dup_lines > n_words, word_chars < 2 * n_words]) AS failed FROM b),
+h AS (SELECT source AS host, rule, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS f FROM t GROUP BY source, rule),
+p AS (SELECT rule, count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(f) AS f, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS pairs, sum(f * f / n) AS f2 FROM h GROUP BY rule),
+q AS (SELECT rule, m, CASE WHEN m > 0 AND m < 1 AND pairs > 0.1
+        THEN least(greatest(1 / greatest(((f2 - m * f) / (m * (1 - m)) - (k - 1)) / pairs, 1e-12) - 1, 1.0), 1e6) ELSE 1.0 END AS s FROM p),
+j AS (SELECT host, bool_or((f + m * s) / (n + s) > 0.5) AS bad FROM h JOIN q USING (rule) GROUP BY host),
+o AS (SELECT rid, bool_or(failed) AS failed FROM t GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT bad AS kept
+FROM b JOIN o ON o.rid = b.rid JOIN j ON j.host IS NOT DISTINCT FROM b.source"""
 
 # --- 10: the level of the shares in closed form, then one running sum per source ----------------
 

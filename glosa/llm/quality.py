@@ -1,10 +1,10 @@
 """Quality rules (operator 9): document rules, then host-level verdicts.
 
-Each document is measured and tested by itself; failures are summed by host
-(any column, ``source`` for documents); each host's failure rate is shrunk
-towards the mean by a beta prior fitted to all hosts by moments; hosts whose
-shrunk rate is above ``max_rate`` are rejected, and the host verdicts are
-joined back to the documents.  A host with few documents thus needs many more
+Each document is measured and tested by itself, rule by rule (``RULES``); failures are summed by host
+(any column, ``source`` for documents) and rule; each host's failure rate by a rule is shrunk
+towards that rule's mean by a beta prior of its own, fitted to all hosts by moments; hosts whose
+shrunk rate is above ``max_rate`` by any rule are rejected, and the host verdicts are
+joined back to the documents.  A document stays if it passes all rules and its host is not rejected.  A host with few documents thus needs many more
 failures than its share before its good documents go with it.
 
 Defined results: null or empty text has no words (``base_failed``: fewer than
@@ -14,6 +14,8 @@ occur; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -86,59 +88,84 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PCT * m["n_words"])
 
 
-def host_verdicts(tested: DataFrame, host: str = "source", failed: str = "base_failed",
-                  max_rate: float = MAX_RATE) -> DataFrame:
-    """(host, n, fails, rate, rejected): one row per host.
+#: Each rule by itself; a document that fails one goes.  "base" comes first and is reported.
+RULES: dict[str, Callable[[Column], Column]] = {
+    "base": base_failed,
+    "symbols": lambda m: 10 * m["n_symbols"] > m["word_chars"],  # over a tenth of what stands in words
+    "dup_lines": lambda m: 10 * m["n_dup_lines"] > m["n_words"],  # a repeated line for less than ten words
+    "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
+}
+
 
-    Prior: the moments of a beta-binomial, both weighted by the hosts' sizes.  Mean m = all
+def _strength(k: int, n: float, fails: float, n2: float, f2: float) -> tuple[float, float]:
+    """(mean, a + b) of a rule's prior: the moments of a beta-binomial, both weighted by the hosts' sizes.  Mean m = all
     failures / all documents; what the squared distances of the hosts' rates from m, each
     times n, exceed binomial noise by gives the correlation rho within a host, and 1 / rho - 1
     the strength a + b (between 1 and 1e6; hosts that do not differ get the strongest prior,
     and where no two documents can tell, one host or one document each, the weakest)."""
+    m = fails / n
+    pairs = n - n2 / n - (k - 1)
+    if not (0 < m < 1 and pairs > 0.1):  # at least 1/3 when it is not 0
+        return m, 1.0
+    rho = ((f2 - m * fails) / (m * (1 - m)) - (k - 1)) / pairs
+    return m, min(max(1 / max(rho, 1e-12) - 1, 1.0), 1e6)
+
+
+def host_verdicts(tested: DataFrame, host: str = "source", failed: str | list[str] = "base_failed",
+                  max_rate: float = MAX_RATE) -> DataFrame:
+    """(host, n, fails, rate, rejected): one row per host; for a list of ``failed`` columns, one per rule, ``fails`` and
+    ``rate`` are structs of the rules' figures.  Each rule has a prior of its own, and a host that is above ``max_rate``
+    by any rule is rejected."""
+    names = [failed] if isinstance(failed, str) else failed
     hosts = tested.groupBy(F.col(host).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("fails"))
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(r).cast("long")).alias(f"f{i}") for i, r in enumerate(names)])
     hosts = written(hosts, "hosts")
-    n, fails = F.col("n").cast("double"), F.col("fails").cast("double")
-    row = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(fails).alias("fails"),
-                    F.sum(n * n).alias("n2"), F.sum(fails * fails / n).alias("f2")).first()  # five numbers
-    m, strength = 0.0, 1.0
-    if row["k"]:
-        m = row["fails"] / row["n"]
-        pairs = row["n"] - row["n2"] / row["n"] - (row["k"] - 1)
-        if 0 < m < 1 and pairs > 0.1:  # at least 1/3 when it is not 0
-            rho = ((row["f2"] - m * row["fails"]) / (m * (1 - m)) - (row["k"] - 1)) / pairs
-            strength = min(max(1 / max(rho, 1e-12) - 1, 1.0), 1e6)
-    rate = (F.col("fails") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", "n", "fails", rate.alias("rate"), (rate > max_rate).alias("rejected"))
-
-
-def judged(tested: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """``tested`` (with ``base_failed``) plus ``kept``: not failed itself, nor its host."""
-    bad = written(host_verdicts(tested, host, max_rate=max_rate).where("rejected").select(
+    n = F.col("n").cast("double")
+    own = [F.col(f"f{i}").cast("double") for i in range(len(names))]
+    row = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(n * n).alias("n2"), *[F.sum(f).alias(f"f{i}") for i, f in enumerate(own)],
+                    *[F.sum(f * f / n).alias(f"s{i}") for i, f in enumerate(own)]).first()  # three numbers, two more per rule
+    priors = [_strength(row["k"], row["n"], row[f"f{i}"], row["n2"], row[f"s{i}"]) if row["k"] else (0.0, 1.0) for i in range(len(names))]
+    rates = [(f + F.lit(m * strength)) / (n + F.lit(strength)) for f, (m, strength) in zip(own, priors)]
+    rejected = reduce(Column.__or__, [rate > max_rate for rate in rates])
+    if isinstance(failed, str):
+        return hosts.select("host", "n", F.col("f0").alias("fails"), rates[0].alias("rate"), rejected.alias("rejected"))
+    return hosts.select("host", "n", F.struct(*[F.col(f"f{i}").alias(r) for i, r in enumerate(names)]).alias("fails"),
+                        F.struct(*[rate.alias(r) for r, rate in zip(names, rates)]).alias("rate"), rejected.alias("rejected"))
+
+
+def _flags(m: Column) -> list[Column]:
+    return [rule(m).alias(f"__{name}") for name, rule in RULES.items()]
+
+
+FLAGS = [f"__{name}" for name in RULES]
+
+
+def _passed() -> Column:
+    return ~reduce(Column.__or__, [F.col(f) for f in FLAGS])
+
+
+def bad_hosts(tested: DataFrame, host: str, max_rate: float) -> DataFrame:
+    """(__bad_host, __bad): the rejected hosts of rows with a flag per rule."""
+    return written(host_verdicts(tested, host, FLAGS, max_rate).where("rejected").select(
         F.col("host").alias("__bad_host"), F.lit(True).alias("__bad")), "bad-hosts")
-    return tested.join(broadcast_if_small(bad), F.col(host).eqNullSafe(F.col("__bad_host")), "left").withColumn(
-        "kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__bad_host", "__bad")
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
                    max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, the five measures, base_failed, kept), one row per input row."""
     tested = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("__host"), measures(text).alias("__m")).select(
-        "doc_id", "__host", "__m.*", base_failed(F.col("__m")).alias("base_failed"))
+        "doc_id", "__host", "__m.*", *_flags(F.col("__m")))
     tested = written(tested, "quality")  # narrow: no texts
-    return judged(tested, "__host", max_rate).drop("__host")
+    out = tested.join(broadcast_if_small(bad_hosts(tested, "__host", max_rate)), F.col("__host").eqNullSafe(F.col("__bad_host")), "left")
+    out = out.withColumn("base_failed", F.col("__base")).withColumn("kept", _passed() & F.col("__bad").isNull())
+    return out.drop("__host", "__bad_host", "__bad", *FLAGS)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged.  The measures are taken twice (for the
-    hosts, then for the rows) rather than moving or storing the texts."""
-    def tested(df: DataFrame) -> DataFrame:
-        return df.withColumn("__m", measures(text)).withColumn("base_failed", base_failed(F.col("__m")))
-
-    clash = [c for c in ("base_failed", "kept") if c in docs.columns]
-    inner = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
-    bad = written(host_verdicts(tested(inner.select(text, host)), host, max_rate=max_rate).where("rejected").select(
-        F.col("host").alias("__bad_host")), "bad-hosts")
-    out = tested(inner).where(~F.col("base_failed")).drop("__m", "base_failed")
-    out = out.join(broadcast_if_small(bad), F.col(host).eqNullSafe(F.col("__bad_host")), "left_anti")
-    return out.withColumnsRenamed({f"__own_{c}": c for c in clash}).select(docs.columns)
+    """The rows of ``docs`` that pass, unchanged.  The texts are measured once: the rows are written
+    with a flag per rule beside them, and lose those of rejected hosts."""
+    tested = docs.withColumn("__m", measures(text))
+    tested = written(tested.select(*docs.columns, *_flags(F.col("__m"))), "tested")
+    bad = bad_hosts(tested, host, max_rate)
+    out = tested.where(_passed()).join(broadcast_if_small(bad), F.col(host).eqNullSafe(F.col("__bad_host")), "left_anti")
+    return out.select(docs.columns)

@@ -50,6 +50,23 @@ def test_host_verdicts(spark, documents):
     assert hosts["tiny"]["rate"] != 0.5 and hosts["spam"]["rejected"] and not hosts[None]["rejected"]
 
 
+def test_rules_by_themselves(spark, documents):
+    """Each rule rejects documents, and hosts, by figures of its own."""
+    rng = random.Random(8)
+
+    def good():
+        return " ".join(rng.choice(["ten", "words", "that", "are", "in", "order", "here", "now"]) + str(rng.randint(0, 999)) for _ in range(20))
+
+    symbols, lines, short = good() + " ### *** $$$ %%% &&&", "a line\n" * 3 + "and so on " + " ".join(map(str, range(10, 20))), " ".join("abcdefghij" "klmnopqrs")
+    rows = [(good(), "plain") for _ in range(40)] + [(x, "plain") for x in (symbols, lines, short)]
+    rows += [(good(), "signs") for _ in range(10)] + [(good() + " ### *** $$$ %%% &&&", "signs") for _ in range(40)]
+    docs = documents(rows)
+    verdict = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_report(docs).collect()}
+    assert [verdict[i] for i in range(43)] == [(False, True)] * 40 + [(False, False)] * 3
+    assert {verdict[i] for i in range(43, len(rows))} == {(False, False)}  # the host goes with its good documents
+    assert {r["doc_id"] for r in quality.quality_filter(docs).collect()} == set(range(40))
+
+
 def test_empty_table(spark, documents):
     assert quality.quality_report(documents([])).collect() == []
     assert quality.quality_filter(documents([])).collect() == []
