@@ -9,10 +9,9 @@ hashes every n-gram, both with numpy and without a loop over words.
    words, then phrases of three to ``LONGEST``.  A longer phrase is only emitted where
    all its words, then all its pairs, are frequent; the frequent fingerprints go to
    the tasks as a bitmap of bounded size (``MAX_BITS``).  Equal bits only let more through.
-2. Phrases whose fingerprint is frequent are looked up in the texts: inside a task by
-   exact numbers of words and pairs of numbers, between tasks by the text of one
-   occurrence, to which the position in the buffer points.  So each phrase is counted by its text,
-   colliding fingerprints are told apart, and no text is made for the rest.
+2. Phrases whose fingerprint is frequent are looked up in the texts: the words' bytes are compared, pairs of
+   equal words are numbered, and the phrase of a fingerprint is held against the text to which a pointer to an
+   occurrence leads.  So each phrase is counted by its text, colliding fingerprints are told apart, and no text is made for the rest.
 3. Each cut of a candidate finds the counts of its parts by joins; the score is exact
    (decimals of 38 digits).
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glosa.llm.common import blank, written
+from glosa.llm.common import blank, broadcast_if_small, written
 from glosa.llm.shingles import mix64
 
 LEAST = 100
@@ -41,6 +40,7 @@ TOP = 2000
 BLOCK_BYTES = 4 << 20
 WINDOW = 1 << 18  # words whose n-grams are sorted at once
 HELD = 1 << 20  # fingerprints or phrases that a task gathers before it hands them on
+SALTS = 64
 MAX_BITS = 30  # of the bitmap: 128 MB at most
 FINGERPRINTS = "fp long, n long"
 PHRASES = "lang string, words int, phrase string, a long, first_doc long"
@@ -103,7 +103,9 @@ class Block:
         offsets = np.asarray(pa.Array.from_buffers(pa.int32(), len(texts) + 1, [None, texts.buffers()[1]], offset=texts.offset)).astype(np.int64)
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-        self.raw = _LOWER[raw]
+        self.padded = np.zeros(len(raw) + 8, np.uint8)
+        self.padded[: len(raw)] = _LOWER[raw]
+        self.raw = self.padded[: len(raw)]
         bounds = offsets - offsets[0]
         inner = bounds[1:-1]
         inner = inner[(inner > 0) & (inner < len(raw))]
@@ -123,6 +125,24 @@ class Block:
         hashes = span_hashes(self.raw, self.start, self.end, _BASES[0])
         self.word = mix64(hashes + (self.end - self.start).astype(np.uint64)) ^ own[self.row]
 
+    def numbers(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the words at these places, equal where the words' bytes are: by their hashes, then every word's
+        bytes are held against the first one's, eight at a time."""
+        _, first, inverse = np.unique(self.word[at], return_index=True, return_inverse=True)
+        start, same = self.start[at], self.start[at[first]][inverse]
+        left = self.end[at] - start
+        eights = np.lib.stride_tricks.as_strided(self.padded, (len(self.raw) + 1, 8), (1, 1), writeable=False)
+        clash = bool((left != left[first][inverse]).any())
+        while len(left) and not clash:
+            mask = ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)))
+            clash = bool((((eights[start].view(np.uint64)[:, 0]) ^ (eights[same].view(np.uint64)[:, 0])) & mask).any())
+            more = left > 8
+            start, same, left = start[more] + 8, same[more] + 8, left[more] - 8
+        if clash:
+            raw, ids = self.raw.tobytes(), {}
+            return np.array([ids.setdefault(raw[x:y], len(ids)) for x, y in zip(self.start[at].tolist(), self.end[at].tolist())], np.int64)
+        return inverse
+
     def windows(self, longest: int) -> Iterator[tuple[slice, int]]:
         """(words, those that start an n-gram here), with the words that such n-grams run into."""
         for lo in range(0, len(self.word), WINDOW):
@@ -231,19 +251,28 @@ def speller(longest: int, known, bits: int) -> Callable[[Iterator[pa.RecordBatch
     """(lang, words, phrase, a, first_doc) of the phrases whose fingerprints are in ``known``, exact;
     and per language a row without words that counts all word occurrences."""
 
-    def out(found: dict) -> pa.RecordBatch:
-        cols = [[k[0] for k in found], [k[1] for k in found], [k[2] for k in found], [v[0] for v in found.values()],
-                [None if v[1] == NO_DOC else v[1] for v in found.values()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
-                                          ["lang", "words", "phrase", "a", "first_doc"])
+    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("a", pa.int64()), ("first_doc", pa.int64())])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, list] = {}
-
-        def add(key: tuple, a: int, doc: int) -> None:
-            own = found.setdefault(key, [0, NO_DOC])
-            own[0] += a
-            own[1] = min(own[1], doc)
+        found: dict[tuple, list] = {}  # by words and fingerprint, or by language, words and text where fingerprints clash
+
+        def entry(lang: str, n: int, fp: int, raw: bytes, s: list[int], e: list[int]) -> list:
+            """The entry [lang, words, phrase, a, first_doc, bytes in the text] of a phrase that stands at s[0]."""
+            said = raw[s[0]: e[n - 1]]
+            own = found.get((n, fp))
+            if own is not None and own[0] == lang and own[5] == said:
+                return own
+            phrase = b" ".join(raw[x:y] for x, y in zip(s, e)).decode()
+            if own is None:
+                own = found[n, fp] = [lang, n, phrase, 0, NO_DOC, said]
+            elif (own[0], own[2]) != (lang, phrase):
+                own = found.setdefault((lang, n, phrase), [lang, n, phrase, 0, NO_DOC, said])
+            return own
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*found.values()))
+            cols[4] = [None if d == NO_DOC else d for d in cols[4]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for batch in batches:
             for rows in row_blocks(batch):
@@ -251,42 +280,45 @@ def speller(longest: int, known, bits: int) -> Callable[[Iterator[pa.RecordBatch
                 block = Block(langs, rows.column("text"))
                 docs = np.array([NO_DOC if x is None else x for x in rows.column("id").to_pylist()], np.int64)
                 names = list(dict.fromkeys(langs))
-                lang = np.array([names.index(x) for x in langs], np.int64)
+                places = {x: i for i, x in enumerate(names)}
+                lang = np.array([places[x] for x in langs], np.int64)
                 for i, n in enumerate(np.bincount(lang[block.row], minlength=len(names)).tolist()):
-                    add((names[i], 0, None), n, NO_DOC)
+                    found.setdefault((0, names[i]), [names[i], 0, None, 0, NO_DOC, b""])[3] += n
                 raw = block.raw.tobytes()
                 for part, starts in block.windows(longest):
                     word, piece, row = block.word[part], block.piece[part], block.row[part]
-                    s, e = block.start[part], block.end[part]
                     good = known.value.has(fingerprints(word, 1, bits))
                     at = np.flatnonzero(good)
-                    ids: dict[bytes, int] = {}
-                    texts = [raw[x:y] for x, y in zip(s[at].tolist(), e[at].tolist())]
                     number = np.zeros(len(word), np.int64)
-                    number[at] = [ids.setdefault(t, len(ids)) for t in texts]
+                    number[at] = block.numbers(at + part.start)
                     number = number * len(names) + lang[row]
                     for n in range(1, longest + 1):
+                        fps = fingerprints(word, n, bits)
                         if n > 1:  # a phrase is the pair of its first and its last n - 1 words
-                            good = good[:-1] & good[1:] & (piece[: len(word) - n + 1] == piece[n - 1:]) & known.value.has(fingerprints(word, n, bits))
+                            good = good[:-1] & good[1:] & (piece[: len(word) - n + 1] == piece[n - 1:]) & known.value.has(fps)
                             number = number[:-1] * (int(number.max(initial=0)) + 1) + number[1:]
                         at = np.flatnonzero(good)
-                        uniq, first, inverse, counts = np.unique(number[at], return_index=True, return_inverse=True, return_counts=True)
+                        uniq, first, inverse = np.unique(number[at], return_index=True, return_inverse=True)
                         number = np.zeros(len(number), np.int64)
                         number[at] = inverse
                         own = at < starts  # the words behind the window have their turn
                         counts = np.bincount(inverse[own], minlength=len(uniq))
                         least = np.full(len(uniq), NO_DOC)
                         np.minimum.at(least, inverse[own], docs[row[at[own]]])
-                        for i, c, d in zip(at[first].tolist(), counts.tolist(), least.tolist()):
+                        first = at[first]
+                        places_of = first[:, None] + np.arange(n) + part.start
+                        for i, fp, s, e, c, d in zip(row[first].tolist(), fps[first].tolist(), block.start[places_of].tolist(), block.end[places_of].tolist(), counts.tolist(), least.tolist()):
                             if c:
-                                add((langs[row[i]], n, b" ".join(raw[x:y] for x, y in zip(s[i: i + n].tolist(), e[i: i + n].tolist())).decode()), c, d)
+                                x = entry(langs[i], n, fp, raw, s, e)
+                                x[3] += c
+                                x[4] = min(x[4], d)
                         if len(word) <= n:
                             break
                 if len(found) > HELD:
-                    yield out(found)
+                    yield out()
                     found.clear()
         if found:
-            yield out(found)
+            yield out()
 
     return spell
 
@@ -305,7 +337,8 @@ def phrase_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         counts = rows.select("lang", "text").mapInArrow(counter(lengths, last, fingerprint_bits), FINGERPRINTS)
         own = written(counts.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp"), "fingerprints")
         frequent = own if frequent is None else frequent.unionByName(own)
-        last = sc.broadcast(_bitmap(own))
+        if lengths is not parts[-1]:
+            last = sc.broadcast(_bitmap(own))
     known = sc.broadcast(_bitmap(frequent))
     spelled = rows.mapInArrow(speller(longest, known, fingerprint_bits), PHRASES)
     return written(spelled.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"), F.min("first_doc").alias("first_doc"))
@@ -314,7 +347,7 @@ def phrase_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
 def collocations(counts: DataFrame, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, first_doc) from ``phrase_counts``."""
-    total = counts.where("words = 0").select(F.col("lang").alias("t_lang"), F.col("a").alias("n"))
+    total = broadcast_if_small(counts.where("words = 0").select(F.col("lang").alias("t_lang"), F.col("a").alias("n")))  # a row per language
     part = counts.where("words > 0").select(F.col("lang").alias("p_lang"), F.col("phrase").alias("p"), F.col("a").alias("p_a"))
     candidates = counts.where("words > 1")
     w = F.split("phrase", " ")
@@ -336,8 +369,10 @@ def collocations(counts: DataFrame, top: int = TOP) -> DataFrame:
     score = F.expr("(cast(1000 as decimal(38,0)) * a * n) div (cast(l as decimal(38,0)) * r)")
     scored = cuts.groupBy("lang", "phrase").agg(
         F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("c"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("first_doc").alias("first_doc"))
-    order = Window.partitionBy("lang").orderBy(F.col("c.score").desc(), F.col("a").desc(), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(
+    order = [F.col("c.score").desc(), F.col("a").desc(), F.col("phrase")]
+    scored = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))  # the first of each part, then of all parts
+    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score", "first_doc")
 
 

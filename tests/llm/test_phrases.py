@@ -104,3 +104,18 @@ def test_hashes_go_over_steps():
     base = phrases._BASES[0]
     want = [sum(int(v) * pow(base, i, 1 << 64) for i, v in enumerate(values[s:e])) % (1 << 64) for s, e in zip(start, end)]
     assert phrases.span_hashes(values, start, end, base).tolist() == want
+
+
+def test_clashing_word_hashes():
+    import pyarrow as pa
+
+    block = phrases.Block(["en"], pa.array(["ab abcdefgh abcdefghi abcdefghj ab abcdefghi " + "x" * 100 + "y " + "x" * 100 + "z " + "x" * 100 + "y"]))
+    at = np.arange(len(block.word))
+    want = [0, 1, 2, 3, 0, 2, 4, 5, 4]
+
+    def alike(numbers):
+        return [[a == b for b in numbers] for a in numbers]
+
+    assert alike(block.numbers(at).tolist()) == alike(want)
+    block.word[:] = 7
+    assert alike(block.numbers(at).tolist()) == alike(want)
