@@ -55,8 +55,9 @@ LISTED = (host_rule("block", "net/"), host_rule("allow", "example.net/en/"),
 OWN = (
     UrlRule("print-view", "block", r"[?&]print=", ("print",), 10),
     UrlRule("ads-path", "block", r"/ads/", ("ads",), 11),
-    UrlRule("login", "block", r"/(?:login|signin)(?:[/?#.]|$)", (), 12),
-    UrlRule("session-id", "block", r"[?&;](?:sid|phpsessid|jsessionid)=", (), 13),
+    # an entry per alternative, so that each is filed under a token
+    *(UrlRule(f"login-{w}", "block", rf"/{w}(?:[/?#.]|$)", (w,), 12) for w in ("login", "signin")),
+    *(UrlRule(f"session-id-{w}", "block", rf"[?&;]{w}=", (w,), 13) for w in ("sid", "phpsessid", "jsessionid")),
     UrlRule("tracker-host", "block", r"^(?:[^/?#]*\.)?doubleclick\.net(?:[:/?#]|$)", ("doubleclick", "net"), 14),
     UrlRule("feed-tag", "block", r"[?&]utm_source=feed(?:[&#]|$)", ("utm", "source", "feed"), 15),
     UrlRule("feed-docs", "allow", r"/docs/[^?#]*\?(?:[^#]*&)?utm_source=feed(?:[&#]|$)", ("docs", "utm", "source", "feed"), 16),

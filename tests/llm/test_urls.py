@@ -42,6 +42,7 @@ def test_against_all_rules(spark):
 
 
 def test_index_uses_the_rarest_token(spark):
+    assert all(r.tokens for r in urls.LISTED + urls.OWN)  # no expression runs on addresses that don't hold its token
     table = urls.rule_table(spark, (urls.host_rule("block", "example.net/en/"),))
     frequency = spark.createDataFrame([("example", 9), ("net", 2), ("en", 5)], "token string, n long")
     assert urls.indexed(table, frequency).first()["token"] == "net"
