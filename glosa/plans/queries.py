@@ -430,12 +430,15 @@ def q_biluo_decode(spark, sf_dir):
 
 
 def q_tagger_spans(spark, sf_dir):
-    """Fit the token tagger on the annotated rulings (BILUO from
-    ``ann``), predict spans back on the same documents (rows-only check)."""
-    from glosa.operators.tagger import fit_tagger, predict_spans, token_rows
-
-    rows = token_rows(_audited(spark, sf_dir)).checkpoint()  # read by every iteration and by the lazy result
-    return predict_spans(fit_tagger(rows), rows.drop("tag", "ent"))
+    """The tagger learns the annotated rulings (BILUO from ``ann``; the shifted dates of every fifth are
+    misaligned and left out), until a document's loss is small, and predicts the spans of all of them.  The SQL
+    says where the spans are, shifted or not: a tagger that has not learnt them fails the comparison."""
+    from glosa.operators import training
+
+    docs = _audited(spark, sf_dir)
+    hashed = training.hashed_documents(docs)
+    state = training.train(hashed, lambda model: {}, callbacks=[training.stop_learned(0.5)])
+    return training.predict(state.model, docs.drop("anns"))
 
 
 def q_annotate_stream(spark, sf_dir):
