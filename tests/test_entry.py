@@ -8,7 +8,7 @@ def test_contract_keys():
     assert set(o) <= set(q)
     assert {"annotate_rulings", "tokens", "doc_scores", "overlap_resolution", "plateau"} <= set(q)
     # the only rows-only query outside the training-data operators
-    assert {k for k in set(q) - set(o) if not k.startswith("op") and k != "pipeline"} == {"tagger_spans"}
+    assert {k for k in set(q) - set(o) if not k.startswith("op") and k != "pipeline"} == {"training_history"}
 
 
 def test_entry_runs(spark):
