@@ -162,10 +162,11 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged.  The texts are measured once: the rows are written
-    with a flag per rule beside them, and lose those of rejected hosts."""
-    tested = docs.withColumn("__m", measures(text))
-    tested = written(tested.select(*docs.columns, *_flags(F.col("__m"))), "tested")
-    bad = bad_hosts(tested, host, max_rate)
-    out = tested.where(_passed()).join(broadcast_if_small(bad), F.col(host).eqNullSafe(F.col("__bad_host")), "left_anti")
+    """The rows of ``docs`` that pass, unchanged.  The measures are taken twice (for the
+    hosts, then for the rows) rather than moving or storing the texts."""
+    def tested(df: DataFrame) -> DataFrame:
+        return df.withColumn("__m", measures(text)).select(*df.columns, *_flags(F.col("__m")))
+
+    bad = bad_hosts(tested(docs.select(text, host)), host, max_rate)
+    out = tested(docs).where(_passed()).join(broadcast_if_small(bad), F.col(host).eqNullSafe(F.col("__bad_host")), "left_anti")
     return out.select(docs.columns)
