@@ -34,5 +34,5 @@ def test_sql(spark, tables, name):
 
 def test_registered():
     have = entry.queries()
-    assert {n.split("_")[0] for n in have if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in have
+    assert {n.split("_")[0] for n in have if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)} and "pipeline" in have
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
