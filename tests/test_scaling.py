@@ -1,12 +1,16 @@
 """What lets the annotation and audit queries grow: how often texts are matched, what is shuffled, sent and held."""
 
+import random
+import re
 from datetime import date
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glosa.functions import text as T
 from glosa.operators import audit, intervals, ruler, sequence
-from glosa.plans import queries as Q
+from glosa.plans import fixtures, queries as Q
 from glosa.streaming.annotate_stream import rows_per_batch
 
 TEXTS = [
@@ -77,3 +81,31 @@ def test_stream_batches_hold_few_rows_and_give_the_setting_back(spark):
     with rows_per_batch(spark, 256):
         assert spark.conf.get(name) == "256"
     assert spark.conf.get(name) == before
+
+
+def test_annotations_are_made_without_self_joins_and_are_the_same_rows(spark, tmp_path):
+    rows = [(k % 25, date(2020, 1 + k % 12, 1 + k % 28)) for k in range(40)] + [(None, date(2020, 1, 1)), (7, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    made = fixtures.derived(spark, str(tmp_path), "ann")
+    assert "Join" not in plan(made)
+    fixtures.derived(spark, str(tmp_path), "rulings")
+    assert sorted(made.collect(), key=str) == sorted(spark.sql(fixtures.ANN_SQL).collect(), key=str)
+
+
+def test_batches_are_tagged_and_checked_as_single_documents_are():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab é😀 .,  -\xa0" + "\n" * (k % 4 == 0)) for _ in range(rnd.randrange(30))) for k in range(400)] + [None]
+    toks = [re.findall(r"[ \n]?\n[ \n]?|\w+|[^\w\s]|\xa0", t or "") for t in texts]
+    anns = [[{"char_start": rnd.choice([None, *range(-2, 33)]), "char_end": rnd.randrange(-2, 33), "label": rnd.choice(["P", "Q"]), "ord": k}
+             for k in range(rnd.randrange(5))] for _ in texts]
+    kind = pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32()), ("label", pa.string()), ("ord", pa.int32())]))
+    arrays = pa.array(texts, pa.string()), pa.array(toks, pa.list_(pa.string())), pa.array(anns, kind)
+    batch = audit.Tagged(*arrays)
+    runs, checked = audit.misaligned_runs(batch, arrays[1]), audit.checked(*arrays).to_pylist()
+    assert len(runs) > 50
+    for d, (text, words, own) in enumerate(zip(texts, toks, anns)):
+        starts = T.starts_of(text or "", words)
+        tags = audit.biluo(starts, [s + len(w) for s, w in zip(starts, words)], [a for a in own if a["char_start"] is not None])
+        assert [batch.tags[c] for c in batch.codes[batch.rows[d]: batch.rows[d + 1]]] == tags
+        assert checked[d]["runs"] == runs.get(d, []) == ["".join(w for _, w in g).replace(" ", "") for bad, g in groupby(zip(tags, words), lambda x: x[0] == "-") if bad]
+        assert checked[d]["found"] == audit.annotation_texts(text, checked[d]["runs"] or None, own)
