@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glosa.functions import text as T
-from glosa.operators import audit, intervals, ruler, sequence
+from glosa.operators import audit, dataset, intervals, ruler, sequence
 from glosa.plans import fixtures, queries as Q
 from glosa.streaming.annotate_stream import rows_per_batch
 
@@ -109,3 +109,14 @@ def test_batches_are_tagged_and_checked_as_single_documents_are():
         assert [batch.tags[c] for c in batch.codes[batch.rows[d]: batch.rows[d + 1]]] == tags
         assert checked[d]["runs"] == runs.get(d, []) == ["".join(w for _, w in g).replace(" ", "") for bad, g in groupby(zip(tags, words), lambda x: x[0] == "-") if bad]
         assert checked[d]["found"] == audit.annotation_texts(text, checked[d]["runs"] or None, own)
+
+
+def test_spans_alone_in_their_cluster_are_kept_without_a_walk(spark):
+    rows = [(1, 0, 3, "A"), (1, 2, 5, "A"), (1, 9, 9, "B"), (2, 4, None, "A"), (3, None, 2, "A"), (None, 1, 2, "C"), (4, 7, 3, "A")]
+    df = spark.createDataFrame(rows, "doc_id long, ann_start int, ann_end int, label string")
+    items = dataset._cluster_groups(df, "doc_id", "ann_start", "ann_end", "label", ["ann_start", "ann_end", "label"])
+    both = items.select(dataset.resolve_clusters(F.col("_items")).alias("new"), dataset.resolve_overlaps(F.col("_items")).alias("old")).collect()
+    assert len(both) >= 6 and all(r.new == r.old for r in both)
+    handed = items.select(F.sum(F.size("_items")).alias("all"), F.sum(F.when(F.size("_items") > 1, F.size("_items"))).alias("walked")).first()
+    assert handed["all"] == 7 and handed["walked"] == 2
+    assert "size(_items" in plan(items.select(dataset.resolve_clusters(F.col("_items"))))
