@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glosa.functions import text as T, words
-from glosa.operators import patterns, ruler, spans
+from glosa.operators import intervals, patterns, ruler, spans
 from glosa.plans import table_queries
 from test_scaling import orders, plan
 
@@ -75,3 +75,21 @@ def test_patterns_of_batches_match_as_the_columns_do(spark):
     tf = T.token_frame(spark.createDataFrame(list(enumerate([*texts, ""])), "doc_id long, text string"), offsets=False)
     both = tf.select(F.array_sort(F.concat(*[p.matches() for p in compiled])).alias("old"), F.array_sort(patterns.pattern_matches(compiled)).alias("new")).collect()
     assert sum(len(r.new) for r in both) > 500 and all(r.old == r.new for r in both)
+
+
+def test_long_tables_share_their_exchanges(spark):
+    tokens = spark.createDataFrame([(1, i, 5 * i, 5 * i + 4) for i in range(120)] + [(1, 7, 35, 39), (None, 0, 0, 2)], "doc_id long, i int, tstart int, tend int").repartition(2, "i")
+    ann = spark.createDataFrame([(1, 250, 259, "A"), (1, 35, 44, "B"), (1, 101, 104, "C"), (1, 509, 509, "D"), (1, 511, 511, "E"), (2, 0, 4, "A"), (None, 0, 2, "A")],
+                                "doc_id long, char_start int, char_end int, label string").repartition(2, "label")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tagged = intervals.biluo_rows(tokens, ann)
+        spans = intervals.decode_rows(tagged, "tag")
+        lines = plan(spans).split("\n")
+        assert sum("+- Exchange hashpartitioning(_doc#" in x and "_b#" in x for x in lines) == 1
+        assert sum("Exchange hashpartitioning(_key#" in x and "REPARTITION" in x and "Reused" not in x for x in lines) == 1
+        got = sorted((r.doc_id or 0, r.i, r.tag) for r in tagged.where("tag <> 'O'").collect())
+        assert got == [(1, 7, "B-B"), (1, 7, "B-B"), (1, 8, "L-B"), (1, 20, "-"), (1, 50, "B-A"), (1, 51, "L-A"), (1, 102, "-")]
+        assert (1, 50, 52, "A") in [tuple(r) for r in spans.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
