@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glosa.functions import text as T, words
 from glosa.operators import intervals, patterns, ruler, spans
-from glosa.plans import table_queries
+from glosa.plans import queries as Q, table_queries
 from test_scaling import orders, plan
 
 WORDS = [
@@ -46,7 +46,12 @@ def test_dates_of_batches_are_those_of_the_class_columns(spark):
 
 
 def test_tags_share_their_tokens(spark, tmp_path):
-    assert plan(table_queries.q_ruler_matches_tags(spark, orders(spark, tmp_path))).count("regexp_extract_all(") == 1
+    sf = orders(spark, tmp_path)
+    found = table_queries.q_ruler_matches_tags(spark, sf)
+    assert plan(found).count("regexp_extract_all(") == 1
+    tf = T.token_frame(Q.spread_rulings(spark, sf))
+    alone = {(*r, t) for t in table_queries.TAGS for r in Q._long(ruler.ruler_matches(tf, tag=t, out="m"), "m").collect()}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(alone, key=str)
 
 
 def test_spans_of_batches_are_chosen_as_a_documents_are():
